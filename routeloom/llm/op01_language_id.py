@@ -1,8 +1,8 @@
 """Language identification by compression with one raw-content dictionary for each language.
 
 A text is encoded by zstandard with the dictionary of every language in turn; the language whose dictionary
-gives the smallest frame is the prediction (letter case is folded first). A narrow margin between the two smallest
-frames marks the prediction as rejected.
+gives the smallest frame is the prediction (letter case, ASCII punctuation and digits are folded away first). A
+narrow margin between the two smallest frames marks the prediction as rejected.
 
 The dictionaries are the whole model. They are filled from a bounded sample: of each language the ``sample_docs``
 labelled texts that come first by a hash of their id, up to ``per_doc`` characters of each, at most ``dict_bytes``
@@ -25,6 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
+#: ASCII punctuation and digits say nothing about the language.
+_DROPPED = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
+
+
+def normalized(text: str) -> bytes:
+    """What is compressed: the text in lower case without ASCII punctuation and digits."""
+    return text.lower().encode().translate(None, _DROPPED)
 
 
 def train_dictionaries(
@@ -53,7 +60,7 @@ def train_dictionaries(
         if r["lang"] in by_lang:
             by_lang[r["lang"]].append(r["text"])
     # zstandard reaches recent content by shorter offsets, so what was sampled first comes last
-    return {k: "\n".join(reversed(v)).lower().encode()[-dict_bytes:] for k, v in by_lang.items()}
+    return {k: b"\n".join(normalized(t) for t in reversed(v))[-dict_bytes:] for k, v in by_lang.items()}
 
 
 class CompressionClassifier:
@@ -74,7 +81,7 @@ class CompressionClassifier:
         """Language, score from 0 to 1, relative margin of the two smallest frames, and whether it is rejected."""
         if not text or not self.langs or not self.letter(text):
             return UNDETERMINED, 0.0, 0.0, True
-        raw = text.lower().encode()
+        raw = normalized(text)
         sizes = [len(c.compress(raw)) for c in self.compressors]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         if len(sizes) == 1:
