@@ -66,7 +66,7 @@ def train_dictionaries(
 class CompressionClassifier:
     """Smallest-frame classifier over fixed dictionaries."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 3) -> None:
+    def __init__(self, dictionaries: dict[str, bytes], level: int = 5) -> None:
         self.langs = list(dictionaries)
         self.letter = regex.compile(r"\p{L}").search
         self.compressors = []
@@ -97,7 +97,7 @@ def language_id(
     docs: DataFrame,
     dictionaries: dict[str, bytes],
     margin: float = 0.02,
-    level: int = 3,
+    level: int = 5,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
