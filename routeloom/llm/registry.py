@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from routeloom.llm import op01_language_id as op1
 from routeloom.llm import op03_byte_bpe as op3
+from routeloom.llm import op04_fingerprints as op4
+from routeloom.llm import op05_decontamination as op5
 from routeloom.llm import op06_url_filters as op6
 from routeloom.llm import op07_line_dedup as op7
 from routeloom.llm import op09_token_counts as op9
@@ -47,6 +49,16 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op4.edited_likeness(table(spark, sf_dir, "documents"))
+    digest = F.sha2("edited_text", 256).alias("edited_sha256")
+    return found.select("doc_id", "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5.contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 URL_RULES = [
     ("allow", "org", "/"),
     ("block", "example.org", "/es/"),
@@ -91,6 +103,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_fingerprints": op4_fingerprints,
+    "op5_decontamination": op5_decontamination,
     "op6_url_filters": op6_url_filters,
     "op7_line_dedup": op7_line_dedup,
     "op9_token_counts": op9_token_counts,
