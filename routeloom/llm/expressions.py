@@ -1,0 +1,17 @@
+"""Small helpers for column expressions."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for each row.
+
+    A column that a lambda refers to is merged into the lambda by the optimizer and computed again for each element;
+    a lambda's own variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

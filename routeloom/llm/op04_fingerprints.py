@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from routeloom.llm.expressions import let
 from routeloom.storage import materialize
 
 BINS, BITS, PROBES = 256, 4, 4
@@ -36,40 +37,58 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), "")
 
 
-def _signatures(rows: DataFrame, text_cols: list[str], width: int = 5) -> DataFrame:
-    """For each text column ``t`` a column ``t_sig``: sixteen longs, or an empty array for a text without words.
+def _is_free(v: Column) -> Column:
+    return v.bitwiseAND(F.lit(_FREE)) == _FREE
 
-    One projection for each step: every step is referred to more than once by the next, and must be computed once.
-    """
-    for t in text_cols:
-        rows = rows.withColumn("__w", words_of(F.coalesce(F.col(t), F.lit(""))))
-        shingles = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("__w") - (width - 1))), lambda i: F.xxhash64(F.slice("__w", i, width))
-        )
-        empty_bins = F.lit([((b << 56) | _FREE) - (1 << 64 if b >= 128 else 0) for b in range(BINS)])
-        rows = rows.withColumn("__h", F.sort_array(F.concat(shingles, empty_bins))).withColumn("__n", F.size("__w")).drop("__w")
-        first = F.filter("__h", lambda h, i: (i == 0) | (F.shiftright(h, 56) != F.shiftright(F.get("__h", i - 1), 56)))
-        rows = rows.withColumn("__d", first).drop("__h")
-        is_free = lambda v: v.bitwiseAND(F.lit(_FREE)) == _FREE
-        rows = rows.withColumn("__full", F.filter("__d", lambda v: ~is_free(v)))
 
+def _bin_minima(words: Column, width: int) -> Column:
+    """The minimum of each bin, in bin order; an empty bin has its marker."""
+    shingles = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (width - 1))), lambda i: F.xxhash64(F.slice(words, i, width))
+    )
+    markers = F.lit([((b << 56) | _FREE) - (1 << 64 if b >= 128 else 0) for b in range(BINS)])
+    first = lambda hashes: F.filter(
+        hashes, lambda h, i: (i == 0) | (F.shiftright(h, 56) != F.shiftright(F.get(hashes, i - 1), 56))
+    )
+    return let(F.sort_array(F.concat(shingles, markers)), first)
+
+
+def _densified(minima: Column) -> Column:
+    def fill(full: Column) -> Column:
         def filled(v: Column, b: Column) -> Column:
-            probes = [F.get("__d", F.pmod(F.xxhash64(b, F.lit(j)), F.lit(BINS)).cast("int")) for j in range(PROBES)]
-            last = F.array_min(F.transform("__full", lambda f: F.struct(F.xxhash64(b, F.shiftright(f, 56), F.lit(PROBES)), f.alias("f"))))
-            return F.when(~is_free(v), v).otherwise(F.coalesce(*(F.when(~is_free(p), p) for p in probes), last["f"]))
-
-        rows = rows.withColumn("__d", F.transform("__d", filled)).drop("__full")
-        digit = lambda w, k: F.get("__d", w * 16 + k).bitwiseAND(F.lit(15).cast("long"))
-        packed = F.transform(
-            F.sequence(F.lit(0), F.lit(15)),
-            lambda w: F.aggregate(
-                F.sequence(F.lit(0), F.lit(15)),
-                F.lit(0).cast("long"),
-                lambda acc, k: acc.bitwiseOR(F.call_function("shiftleft", digit(w, k), k * BITS)),
-            ),
-        )
-        rows = rows.withColumn(f"{t}_sig", F.when(F.col("__n") == 0, F.array().cast("array<bigint>")).otherwise(packed)).drop("__d", "__n")
-    return rows
+            probes = [F.get(minima, F.pmod(F.xxhash64(b, F.lit(j)), F.lit(BINS)).cast("int")) for j in range(PROBES)]
+            last = F.array_min(
+                F.transform(full, lambda f: F.struct(F.xxhash64(b, F.shiftright(f, 56), F.lit(PROBES)), f.alias("value")))
+            )
+            return F.when(~_is_free(v), v).otherwise(
+                F.coalesce(*(let(p, lambda x: F.when(~_is_free(x), x)) for p in probes), last["value"])
+            )
+
+        return F.transform(minima, filled)
+
+    return F.when(~F.exists(minima, _is_free), minima).otherwise(let(F.filter(minima, lambda v: ~_is_free(v)), fill))
+
+
+def _packed(bins: Column) -> Column:
+    def word(w: Column) -> Column:
+        digits = (F.get(bins, w * 16 + k).bitwiseAND(F.lit(15).cast("long")) for k in range(16))
+        total = None
+        for k, d in enumerate(digits):
+            d = F.shiftleft(d, k * BITS) if k else d
+            total = d if total is None else total.bitwiseOR(d)
+        return total
+
+    return F.transform(F.sequence(F.lit(0), F.lit(15)), word)
+
+
+def signature(text: Column, width: int = 5) -> Column:
+    """Sixteen longs, or an empty array for a text without words."""
+
+    def of(words: Column) -> Column:
+        packed = let(_bin_minima(words, width), lambda m: let(_densified(m), _packed))
+        return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(packed)
+
+    return let(words_of(F.coalesce(text, F.lit(""))), of)
 
 
 def fingerprint_text(sig: Column) -> Column:
@@ -93,8 +112,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint, signature`` of every whole text; a narrow pass."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    return _signatures(rows, ["t"]).select("doc_id", fingerprint_text(F.col("t_sig")).alias("fingerprint"), F.col("t_sig").alias("signature"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), signature(F.col(text_col).cast("string")).alias("signature"))
+    return rows.select("doc_id", fingerprint_text(F.col("signature")).alias("fingerprint"), "signature")
 
 
 def _with_following(ranges: DataFrame) -> DataFrame:
@@ -134,12 +153,12 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next``.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = with_next(_signatures(rows, ["text"]), ["text", "text_sig"])
+    rows = with_next(rows.withColumn("text_sig", signature(F.col("text"))), ["text", "text_sig"])
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.substring(F.col("next.text"), F.lit(1), cut))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "text_sig", F.col("next.text_sig").alias("next_sig"), edited.alias("edited_text"))
-    rows = _signatures(rows, ["edited_text"])
+    rows = rows.withColumn("edited_text_sig", signature(F.col("edited_text")))
     return rows.select(
         "doc_id",
         "n_chars",

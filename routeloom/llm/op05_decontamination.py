@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from routeloom.llm.expressions import let
 from routeloom.storage import materialize
 
 #: Spaced seeds: fixed values, lossless for two substitutions in thirteen words.
@@ -42,8 +43,8 @@ def _seeds(words: Column, at: Column) -> Column:
 
 
 def _positions(rows: DataFrame, *keep: str) -> DataFrame:
-    long_enough = rows.filter(F.size("words") >= _SPAN)
-    at = long_enough.select(*keep, "words", F.explode(F.sequence(F.lit(0), F.size("words") - _SPAN)).alias("at"))
+    starts = F.when(F.size("words") >= _SPAN, F.sequence(F.lit(0), F.size("words") - _SPAN))  # null: no rows
+    at = rows.select(*keep, "words", F.explode(starts).alias("at"))
     return at.select(*keep, "words", "at", F.explode(_seeds(F.col("words"), F.col("at"))).alias("seed"))
 
 
@@ -66,11 +67,12 @@ def _agreeing(window: int, share: float) -> Column:
         inside = (k + shift >= 0) & (k + shift < F.size("words"))
         return F.when(inside & (F.get("words", k + shift) == F.get("item_words", k)), 1).otherwise(0)
 
-    # sums over every window of ``width`` places, by differences of running sums
-    flags = F.transform(places, same)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(flags) - width + 1))
-    total = lambda s: F.aggregate(F.slice(flags, s, width), F.lit(0), lambda a, x: a + x)
-    best = F.array_max(F.transform(starts, total))
+    def most(flags: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(flags) - width + 1))
+        total = lambda s: F.aggregate(F.slice(flags, s, width), F.lit(0), lambda a, x: a + x)
+        return F.array_max(F.transform(starts, total))
+
+    best = let(F.transform(places, same), most)
     return F.when(best >= F.ceil(width * F.lit(share)), best).otherwise(0)
 
 
