@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routeloom.llm import op01_language_id as op1
+from routeloom.llm import op02_toxicity as op2
 from routeloom.llm import op03_byte_bpe as op3
 from routeloom.llm import op04_fingerprints as op4
 from routeloom.llm import op05_decontamination as op5
@@ -37,6 +38,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def train_toxicity(spark: SparkSession, sf_dir: str) -> op2.Field:
+    """The field learned from the labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").filter(~held_out())
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return op2.train(docs.join(labels, "doc_id"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = op2.toxicity(docs, train_toxicity(spark, sf_dir), threshold=0.7)
+    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted", "spans")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary()
     coded = op3.bpe_encode(table(spark, sf_dir, "documents"), path, pattern, decoded=True)
@@ -102,6 +116,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_toxicity": op2_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_fingerprints": op4_fingerprints,
     "op5_decontamination": op5_decontamination,
