@@ -38,7 +38,7 @@ def words_of(text: Column) -> Column:
 def _seeds(words: Column, at: Column) -> Column:
     """The masks' hashes of the words from ``at`` (0-based) on."""
     return F.array(
-        *(F.xxhash64(F.lit(m), *(words[at + k] for k, bit in enumerate(mask) if bit == "1")) for m, mask in enumerate(MASKS))
+        *(F.xxhash64(F.lit(m), *(F.get(words, at + k) for k, bit in enumerate(mask) if bit == "1")) for m, mask in enumerate(MASKS))
     )
 
 
@@ -49,9 +49,21 @@ def _positions(rows: DataFrame, *keep: str) -> DataFrame:
 
 
 def benchmark_seeds(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``seed, item_id, item_at, item_words``: a row for each distinct seed place of each item."""
+    """``seed, item_id, item_at``: a row for each seed place of each item."""
     items = benchmark.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col).cast("string")).alias("words"))
-    return _positions(items, "item_id").select("seed", "item_id", F.col("at").alias("item_at"), F.col("words").alias("item_words"))
+    return _positions(items, "item_id").select("seed", "item_id", F.col("at").alias("item_at"))
+
+
+def _around(window: int) -> list[Column]:
+    """The words within a window's reach of a hit, and the place of the seed among them.
+
+    The generator keeps the verification out of the probing loop: that loop compiles to one pass over the words, and
+    only these few words of a hit leave it.
+    """
+    reach = window - _SPAN
+    start = F.greatest(F.lit(0), F.col("at") - reach)
+    few = F.slice("words", start + 1, F.lit(2 * window - _SPAN))
+    return [F.explode(F.array(F.struct(few.alias("words"), (F.col("at") - start).alias("at")))).alias("hit")]
 
 
 def _agreeing(window: int, share: float) -> Column:
@@ -60,20 +72,18 @@ def _agreeing(window: int, share: float) -> Column:
     width = F.least(n, F.lit(window))
     low = F.greatest(F.lit(0), F.col("item_at") + _SPAN - width)
     high = F.least(n, F.col("item_at") + width)  # exclusive
-    places = F.sequence(low, high - 1)
-    shift = F.col("at") - F.col("item_at")
+    shift = F.col("hit.at") - F.col("item_at")
 
     def same(k: Column) -> Column:
-        inside = (k + shift >= 0) & (k + shift < F.size("words"))
-        return F.when(inside & (F.get("words", k + shift) == F.get("item_words", k)), 1).otherwise(0)
+        return F.when((k + shift >= 0) & (F.get("hit.words", k + shift) == F.get("item_words", k)), 1).otherwise(0)
 
     def most(flags: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(flags) - width + 1))
         total = lambda s: F.aggregate(F.slice(flags, s, width), F.lit(0), lambda a, x: a + x)
         return F.array_max(F.transform(starts, total))
 
-    best = let(F.transform(places, same), most)
-    return F.when(best >= F.ceil(width * F.lit(share)), best).otherwise(0)
+    best = let(F.transform(F.sequence(low, high - 1), same), most)
+    return let(best, lambda b: F.when(b >= F.ceil(width * F.lit(share)), b).otherwise(0))
 
 
 def contaminated_pairs(
@@ -90,13 +100,15 @@ def contaminated_pairs(
     """``doc_id, item_id, overlap``: verified pairs, with the most agreeing words of a window."""
     seeds = materialize(benchmark_seeds(benchmark, item_col, item_text_col), "seeds")
     rows = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col).cast("string")).alias("words"))
+    items = benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text_col).cast("string")).alias("item_words"))
+    items = materialize(items.filter(F.size("item_words") >= _SPAN), "items")
     if seeds.count() <= broadcast_seeds:
         hits = _positions(rows, "doc_id").join(F.broadcast(seeds), "seed")
     else:
-        near = _positions(rows, "doc_id").select("doc_id", "at", "seed").join(seeds.drop("item_words"), "seed")
-        diagonals = near.groupBy("doc_id", "item_id", "at", "item_at").agg(F.lit(1).alias("one")).drop("one")
-        items = benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text_col).cast("string")).alias("item_words"))
-        hits = diagonals.join(items, "item_id").join(rows, diagonals["doc_id"].eqNullSafe(rows["doc_id"])).drop(rows["doc_id"])
+        near = _positions(rows, "doc_id").select("doc_id", "at", "seed").join(seeds, "seed")
+        places = near.select("doc_id", "item_id", "at", "item_at").distinct()
+        hits = places.join(rows, places["doc_id"].eqNullSafe(rows["doc_id"])).drop(rows["doc_id"])
+    hits = hits.select("doc_id", "item_id", "item_at", *_around(window)).join(items, "item_id")
     found = hits.select("doc_id", "item_id", _agreeing(window, share).alias("overlap")).filter("overlap > 0")
     return found.groupBy("doc_id", "item_id").agg(F.max("overlap").alias("overlap"))
 
