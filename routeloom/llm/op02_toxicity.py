@@ -319,3 +319,18 @@ def toxicity(docs: DataFrame, model: Field, threshold: float = 0.7, id_col: str
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int, spans array<struct<start:int,end:int>>")
+
+
+def reject_toxic(docs: DataFrame, model: Field, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more; all columns pass through one narrow pass."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).cast(pa.string())
+            keep: list[bool] = []
+            for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), 4000, 8_000_000):
+                keep += [s < threshold for s, _ in score_texts(model, part.column(0).to_pylist())]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -13,6 +13,7 @@ from routeloom.llm import op05_decontamination as op5
 from routeloom.llm import op06_url_filters as op6
 from routeloom.llm import op07_line_dedup as op7
 from routeloom.llm import op09_token_counts as op9
+from routeloom.llm import op10_near_dedup as op10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,16 +52,20 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted", "spans")
 
 
-def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, pattern = vocabulary()
-    coded = op3.bpe_encode(table(spark, sf_dir, "documents"), path, pattern, decoded=True)
+def bpe_digests() -> list:
+    """Digest columns of ``ids`` and ``decoded``."""
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return coded.select(
-        "doc_id",
+    return [
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(ids, 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    ]
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = vocabulary()
+    coded = op3.bpe_encode(table(spark, sf_dir, "documents"), path, pattern, decoded=True)
+    return coded.select("doc_id", *bpe_digests())
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +119,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9.token_counts(table(spark, sf_dir, "documents"), path, pattern)
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op10.similarity_classes(table(spark, sf_dir, "documents"), percent=85)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -123,6 +133,7 @@ QUERIES = {
     "op6_url_filters": op6_url_filters,
     "op7_line_dedup": op7_line_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLES = {"op7_line_dedup": OP7_SQL}
