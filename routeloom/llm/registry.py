@@ -12,6 +12,7 @@ from routeloom.llm import op04_fingerprints as op4
 from routeloom.llm import op05_decontamination as op5
 from routeloom.llm import op06_url_filters as op6
 from routeloom.llm import op07_line_dedup as op7
+from routeloom.llm import op08_suffix_dedup as op8
 from routeloom.llm import op09_token_counts as op9
 from routeloom.llm import op10_near_dedup as op10
 
@@ -41,9 +42,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def train_toxicity(spark: SparkSession, sf_dir: str) -> op2.Field:
     """The field learned from the labelled rows that are not held out."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").filter(~held_out())
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    return op2.train(docs.join(labels, "doc_id"))
+    return op2.train(table(spark, sf_dir, "documents").filter(~held_out()), table(spark, sf_dir, "labels"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +113,11 @@ FROM k
 """
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op8.suffix_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary()
     return op9.token_counts(table(spark, sf_dir, "documents"), path, pattern)
@@ -132,6 +136,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_url_filters": op6_url_filters,
     "op7_line_dedup": op7_line_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_near_dedup": op10_near_dedup,
 }
