@@ -16,9 +16,8 @@ from routeloom.storage import materialize
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score 0.7 or more; learns from the labelled rows that are not held out."""
-    labels = registry.table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    labelled = docs.select("doc_id", "text").filter(~registry.held_out()).join(labels, "doc_id")
-    return op02_toxicity.reject_toxic(docs, op02_toxicity.train(labelled), threshold=0.7)
+    model = op02_toxicity.train(docs.filter(~registry.held_out()), registry.table(spark, sf_dir, "labels"))
+    return op02_toxicity.reject_toxic(docs, model, threshold=0.7)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

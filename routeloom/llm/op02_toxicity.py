@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routeloom.llm.op03_byte_bpe import slices
+from routeloom.storage import materialize
 
 _SEGMENT, _CACHE = 512, 400_000
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»„“”‘’…"
@@ -259,27 +260,34 @@ def fit(texts: list[str], labels: list[int], max_tokens: int = 200, steps: int =
 
 
 def train(
-    labelled: DataFrame,
+    docs: DataFrame,
+    labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    max_toxic: int = 1500,
-    max_clean: int = 3000,
-    max_chars: int = 8000,
+    max_toxic: int = 1000,
+    max_clean: int = 2000,
+    max_chars: int = 6000,
     max_tokens: int = 200,
 ) -> Field:
-    """Fit on a bounded sample: texts of up to ``max_chars`` first; of a longer one so many characters are learned from."""
-    rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"))
-    rows = rows.filter(F.col("y").isin(0, 1) & F.col("text").isNotNull())
-    texts, labels = [], []
-    for y, most in ((1, max_toxic), (0, max_clean)):
-        own = rows.filter(F.col("y") == y).select(
-            "doc_id", (F.length("text") > max_chars).alias("long"), F.substring("text", 1, max_chars).alias("text")
-        )
-        sample = own.orderBy("long", F.xxhash64("doc_id"), "doc_id", "text").limit(most).collect()
-        texts += [r["text"] for r in sample]
-        labels += [y] * len(sample)
-    return fit(texts, labels, max_tokens)
+    """Fit on a bounded sample: texts of up to ``max_chars`` first; of a longer one so many characters are learned from.
+
+    The sample is drawn from narrow rows of id, label and length, and each task gives at most the sample's size. Its
+    ids, whose number the parameters bound, are broadcast, and only the texts that they name reach the driver.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    y = F.col(label_col).cast("int").alias("y")
+    known = labels.select(F.col(id_col).alias("doc_id"), y).filter(F.col("y").isin(0, 1))
+    lengths = rows.filter("text is not null").select("doc_id", (F.length("text") > max_chars).alias("long")).join(known, "doc_id")
+    narrow = materialize(lengths, "labelled")
+    wanted: dict[int, int] = {}
+    for value, most in ((1, max_toxic), (0, max_clean)):
+        own = narrow.filter(F.col("y") == value).orderBy("long", F.xxhash64("doc_id"), "doc_id").limit(most)
+        wanted |= {r["doc_id"]: value for r in own.select("doc_id").collect()}
+    ids = docs.sparkSession.createDataFrame([(i,) for i in wanted], "doc_id long")
+    found = rows.join(F.broadcast(ids), "doc_id").select("doc_id", F.substring("text", 1, max_chars).alias("text")).collect()
+    found.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    return fit([r["text"] for r in found], [wanted[r["doc_id"]] for r in found], max_tokens)
 
 
 def score_texts(model: Field, texts: list[str | None]) -> Iterator[tuple[float, list[tuple[int, int]]]]:
