@@ -1,30 +1,16 @@
-"""The registry of queries: name, Spark plan, and DuckDB twin."""
+"""The registry of queries: name, Spark plan, and DuckDB twin.
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Plan = Callable[[SparkSession, str], DataFrame]
+A plan applies an operator of the library to the driver's tables, which stand for the data of a routing dataset:
+``part`` is the catalog of skills, ``orders`` the queries, ``lineitem`` the relevance judgements, ``embeddings`` the
+vectors, ``events`` the training log, ``customer`` with ``nation`` and ``region`` a taxonomy.
+"""
 
-QUERIES: dict[str, Plan] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "region_scan"
-
-
-def plan(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
-    """Register a plan, with its SQL twin if SQL can express it."""
-
-    def add(f: Plan) -> Plan:
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
+from __future__ import annotations
 
-    return add
+from routeloom.plans import codes, documents, graphs, joins, logs, ranking, splits, summaries, text, validation
+from routeloom.plans.registry import ORACLES, QUERIES
 
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "MODULES"]
 
-@plan("region_scan", "SELECT r_regionkey, r_name FROM region")
-def region_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name")
+MODULES = (codes, documents, graphs, joins, logs, ranking, splits, summaries, text, validation)
+FLAGSHIP = "couse_edges"
