@@ -9,9 +9,10 @@ compared exhaustively inside one task.
 
 In a leaf documents are compared by 256 packed minwise values; a pair is a candidate unless its estimate is more than
 ``slack`` standard deviations below the threshold. A first pass takes only the maximum spanning forest of a leaf's
-candidates, a second one the candidates whose ends the confirmed links of the first did not connect. Hence a group of
-g near copies gives about g pairs and not g * g, while no link that joins two components is passed over. Every
-candidate is confirmed on the full sets.
+candidates, and confirms those pairs on the full sets. A second pass takes the documents of a leaf that still have a
+candidate in another component, compares their full sets inside the leaf, and gives a spanning forest of the links.
+Hence a group of g near copies gives about g pairs and not g * g, while no link that joins two components is passed
+over.
 
 Recall: a pair of similarity s shares a root with probability 1 - (1 - s) ** trees, over 0.99999 for the defaults at
 0.85; deeper nodes are reached only by values that over ``leaf`` documents share.
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from routeloom.llm.components import components
 from routeloom.llm.op03_byte_bpe import slices
-from routeloom.llm.wordhash import mix, shingle_sets, signature
+from routeloom.llm.wordhash import minwise, mix, shingle_sets
 from routeloom.storage import materialize
 
 COORDINATES = 256
@@ -47,22 +48,25 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def set_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, digest, sig``: size and 128-bit digest of each set, and its minwise signature."""
-    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
+def set_digests(docs: DataFrame, trees: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, digest, sig, roots``: size and 128-bit digest of each set, the low 16 bits of its minwise
+    values, and the first ``trees`` of them whole."""
+    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary()), ("roots", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chain.from_iterable(slices(b, 2000, 4_000_000) for b in batches):
             sets = shingle_sets(batch.column("text").to_pylist())
+            values = [minwise(s) for s in sets]
             columns = [
                 batch.column("doc_id"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                pa.array([signature(s).tobytes() for s in sets], pa.binary()),
+                pa.array([v.astype(np.uint16).tobytes() for v in values], pa.binary()),
+                pa.array([v[:trees].tobytes() for v in values], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary, roots binary")
 
 
 def full_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,13 +95,12 @@ def _roots(reps: DataFrame, trees: int) -> DataFrame:
         tree = np.arange(1, trees + 1, dtype=np.uint64)
         for batch in batches:
             if batch.num_rows:
-                sig = _signatures(batch.column("sig")).astype(np.uint64)
-                # one coordinate for each tree, all different
-                nodes = mix(mix(tree)[None, :] + sig[:, :trees])
+                values = np.frombuffer(b"".join(batch.column("roots").to_pylist()), dtype=np.uint64).reshape(-1, trees)
+                nodes = mix(mix(tree)[None, :] + values)  # one coordinate for each tree, all different
                 ids = np.repeat(batch.column("doc_id").to_numpy(), trees)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(ids)], schema=out)
 
-    return reps.select("doc_id", "sig").mapInArrow(run, "node long, doc_id long")
+    return reps.select("doc_id", "roots").mapInArrow(run, "node long, doc_id long")
 
 
 def _children(members: DataFrame, per_step: int, branching: float) -> DataFrame:
@@ -141,13 +144,10 @@ def chosen_path_leaves(reps: DataFrame, trees: int, leaf: int, per_step: int, br
     return leaves
 
 
-def _compare(ids: np.ndarray, size: np.ndarray, sig: np.ndarray, comp: np.ndarray | None, threshold: float, bar: float):
-    """Candidate pairs of one leaf: of its maximum spanning forest, or with ``comp`` all that join two components."""
-    n = len(ids)
-    if comp is not None and (comp == comp[0]).all():
-        return
+def _near(ids: np.ndarray, size: np.ndarray, sig: np.ndarray, comp: np.ndarray | None, threshold: float, bar: float):
+    """Places and agreement of the candidate pairs of one leaf; with ``comp`` only of those that join two components."""
     found = []
-    for i in range(n - 1):
+    for i in range(len(ids) - 1):
         fits = np.minimum(size[i], size[i + 1 :]) >= threshold * np.maximum(size[i], size[i + 1 :]) - 1e-9
         if comp is not None:
             fits &= comp[i + 1 :] != comp[i]
@@ -158,11 +158,13 @@ def _compare(ids: np.ndarray, size: np.ndarray, sig: np.ndarray, comp: np.ndarra
             if near.any():
                 found.append((np.full(int(near.sum()), i), js[near], equal[near]))
     if not found:
-        return
-    a, b, w = (np.concatenate(x) for x in zip(*found, strict=True))
-    if comp is not None:
-        yield from zip(ids[a], ids[b], strict=True)
-        return
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> list[int]:
+    """Which of the edges form a maximum spanning forest."""
     root = list(range(n))
 
     def find(x: int) -> int:
@@ -171,57 +173,130 @@ def _compare(ids: np.ndarray, size: np.ndarray, sig: np.ndarray, comp: np.ndarra
             x = root[x]
         return x
 
-    for k in np.argsort(-w, kind="stable"):
+    kept = []
+    for k in np.argsort(-weight, kind="stable").tolist():
         x, y = find(int(a[k])), find(int(b[k]))
         if x != y:
             root[x] = y
-            yield ids[a[k]], ids[b[k]]
+            kept.append(k)
+    return kept
+
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each node, from rows that arrive sorted by node; a node may span batches."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        node = batch.column("node").to_numpy()
+        cuts = np.flatnonzero(node[1:] != node[:-1]) + 1
+        if rest and rest[-1].column("node")[0].as_py() != node[0]:
+            yield pa.Table.from_batches(rest)
+            rest = []
+        for lo, hi in zip([0, *cuts], [*cuts, len(node)], strict=True):
+            rest.append(batch.slice(lo, hi - lo))
+            if hi < len(node):
+                yield pa.Table.from_batches(rest)
+                rest = []
+    if rest:
+        yield pa.Table.from_batches(rest)
 
 
-def candidate_pairs(members: DataFrame, threshold: float, slack: float, by_component: bool) -> DataFrame:
-    """Distinct ``a, b`` with a < b from rows ``node, doc_id, n_shingles, sig`` and, if asked for, ``component``."""
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    bar = COORDINATES * (threshold - slack * (threshold * (1 - threshold) / COORDINATES) ** 0.5)
+def _dealt(members: DataFrame) -> DataFrame:
+    return members.repartition("node").sortWithinPartitions("node")
+
+
+def _bar(threshold: float, slack: float) -> float:
+    """Equal minwise values that a candidate needs."""
+    return COORDINATES * (threshold - slack * (threshold * (1 - threshold) / COORDINATES) ** 0.5)
 
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        """Rows arrive sorted by node; a node may span batches."""
-        rest: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            node = batch.column("node").to_numpy()
-            cuts = np.flatnonzero(node[1:] != node[:-1]) + 1
-            if rest and rest[-1].column("node")[0].as_py() != node[0]:
-                yield pa.Table.from_batches(rest)
-                rest = []
-            for lo, hi in zip([0, *cuts], [*cuts, len(node)], strict=True):
-                part = batch.slice(lo, hi - lo)
-                rest.append(part)
-                if hi < len(node):
-                    yield pa.Table.from_batches(rest)
-                    rest = []
-        if rest:
-            yield pa.Table.from_batches(rest)
+
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], schema=_PAIR)
+
+
+def forest_pairs(members: DataFrame, threshold: float, slack: float) -> DataFrame:
+    """Distinct ``a, b`` with a < b of the spanning forests of all leaves ``node, doc_id, n_shingles, sig``."""
+    bar = _bar(threshold, slack)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[int, int]] = set()
+        for t in _nodes(batches):
+            ids = t.column("doc_id").to_numpy()
+            a, b, w = _near(ids, t.column("n_shingles").to_numpy(), _signatures(t.column("sig")), None, threshold, bar)
+            for k in _forest(len(ids), a, b, w):
+                x, y = int(ids[a[k]]), int(ids[b[k]])
+                found.add((min(x, y), max(x, y)))
+            if len(found) > 50_000:
+                yield _pairs(found)
+                found.clear()
+        yield _pairs(found)
+
+    return _dealt(members).mapInArrow(run, "a long, b long").distinct()
+
+
+def undecided_members(members: DataFrame, threshold: float, slack: float) -> DataFrame:
+    """``node, doc_id, component`` of the documents of a leaf that have a candidate in another component."""
+    bar = _bar(threshold, slack)
+    out = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("component", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: set[tuple[int, int]] = set()
-        flush = lambda: pa.RecordBatch.from_arrays(
-            [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], schema=out
-        )
-        for t in nodes(batches):
-            if t.num_rows < 2:
+        for t in _nodes(batches):
+            ids, comp = t.column("doc_id").to_numpy(), t.column("component").to_numpy()
+            if (comp == comp[0]).all():
                 continue
-            ids, size = t.column("doc_id").to_numpy(), t.column("n_shingles").to_numpy()
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, COORDINATES)
-            comp = t.column("component").to_numpy() if by_component else None
-            pairs.update((int(min(p)), int(max(p))) for p in _compare(ids, size, sig, comp, threshold, bar))
-            if len(pairs) > 50_000:
-                yield flush()
-                pairs.clear()
-        yield flush()
+            a, b, _ = _near(ids, t.column("n_shingles").to_numpy(), _signatures(t.column("sig")), comp, threshold, bar)
+            at = np.unique(np.concatenate([a, b]))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([t.column("node").combine_chunks().take(pa.array(at)), pa.array(ids[at]), pa.array(comp[at])], schema=out)
 
-    dealt = members.repartition("node").sortWithinPartitions("node")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return _dealt(members).mapInArrow(run, "node long, doc_id long, component long")
+
+
+def exact_links(members: DataFrame, percent: int) -> DataFrame:
+    """Distinct ``a, b``: of each leaf ``node, doc_id, component, shingles`` a forest of the links between components.
+
+    All intersections of a leaf come from one product of its membership matrix, over the shingles that two or more of
+    its documents have; sums of ones are exact.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[int, int]] = set()
+        for t in _nodes(batches):
+            ids, comp = t.column("doc_id").to_numpy(), t.column("component").to_numpy()
+            lists = t.column("shingles").combine_chunks()
+            flat = lists.flatten().to_numpy()
+            size = np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(ids)), size)
+            _, column, many = np.unique(flat, return_inverse=True, return_counts=True)
+            shared = many[column] > 1
+            row, column = row[shared], column[shared]
+            common = np.zeros((len(ids), len(ids)), dtype=np.float32)
+            order = np.argsort(column, kind="stable")
+            row, column = row[order], column[order]
+            width = 8192
+            starts = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1]])) if len(column) else np.zeros(0, np.int64)
+            dense = np.cumsum(np.concatenate([[False], column[1:] != column[:-1]])) if len(column) else column
+            for lo in range(0, len(starts), width):
+                part = (dense >= lo) & (dense < lo + width)
+                x = np.zeros((len(ids), min(width, len(starts) - lo)), dtype=np.float32)
+                x[row[part], dense[part] - lo] = 1
+                common += x @ x.T
+            inter = np.rint(common).astype(np.int64)
+            union = size[:, None] + size[None, :] - inter
+            a, b = np.nonzero(np.triu(100 * inter >= percent * union, 1) & (comp[:, None] != comp[None, :]))
+            for k in _forest(len(ids), a, b, inter[a, b] / union[a, b]):
+                x, y = int(ids[a[k]]), int(ids[b[k]])
+                found.add((min(x, y), max(x, y)))
+            if len(found) > 50_000:
+                yield _pairs(found)
+                found.clear()
+        yield _pairs(found)
+
+    return _dealt(members).mapInArrow(run, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -248,22 +323,22 @@ def similarity_classes(
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id``: one row for each row of ``docs``; the least id that its links reach."""
     texts = _texts(docs, id_col, text_col)
-    digests = materialize(set_digests(texts), "digests")
+    digests = materialize(set_digests(texts, trees), "digests")
     known = digests.filter("n_shingles > 0 and doc_id is not null")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "classes")
     reps = known.join(classes.select(F.col("digest"), F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    reps = materialize(reps.dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sig"), "reps")
+    reps = materialize(reps.dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sig", "roots"), "reps")
     leaves = chosen_path_leaves(reps, trees, leaf, per_step, branching, max_steps)
-    members = materialize(leaves.join(reps, "doc_id"), "members")
+    members = materialize(leaves.join(reps.drop("roots"), "doc_id"), "members")
     threshold = percent / 100
-    tree_pairs = materialize(candidate_pairs(members, threshold, slack, by_component=False), "pairs")
-    links = materialize(confirmed(tree_pairs, texts, percent), "links")
+    links = materialize(confirmed(materialize(forest_pairs(members, threshold, slack), "pairs"), texts, percent), "links")
     first = materialize(components(links), "components")
     with_component = members.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     with_component = with_component.withColumn("component", F.coalesce("component", "doc_id"))
-    cross = candidate_pairs(with_component, threshold, slack, by_component=True).join(tree_pairs, ["a", "b"], "left_anti")
-    more = materialize(confirmed(materialize(cross, "pairs"), texts, percent), "links")
+    open_members = materialize(undecided_members(with_component, threshold, slack), "undecided")
+    sets = full_sets(texts.join(open_members.select("doc_id").distinct(), "doc_id", "left_semi")).dropDuplicates(["doc_id"])
+    more = materialize(exact_links(open_members.join(sets, "doc_id"), percent), "links")
     last = first
     if more.limit(1).count():
         stars = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -271,7 +346,7 @@ def similarity_classes(
     by_class = classes.join(last, classes["rep"] == last["node"], "left").select(
         "digest", F.coalesce("component", "rep").alias("component_id")
     )
-    found = digests.drop("sig").join(by_class, "digest", "left")
+    found = digests.drop("sig", "roots").join(by_class, "digest", "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id"))
     return found.select("doc_id", "n_shingles", F.coalesce(own, "doc_id").alias("component_id"))
 

@@ -75,13 +75,13 @@ _MULTIPLIERS = mix(np.arange(1000, 1000 + _T, dtype=np.uint64)) | np.uint64(1)
 _OFFSETS = mix(np.arange(5000, 5000 + _T, dtype=np.uint64))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The low 16 bits of 256 minwise values of a set; an empty set has zeros."""
+def minwise(shingles: np.ndarray) -> np.ndarray:
+    """256 minwise values of a set, 64 bits each; an empty set has zeros."""
     if not len(shingles):
-        return np.zeros(_T, dtype=np.uint16)
+        return np.zeros(_T, dtype=np.uint64)
     low = None
     for i in range(0, len(shingles), _CHUNK):
         x = shingles[i : i + _CHUNK]
         m = (x[None, :] * _MULTIPLIERS[:, None] + _OFFSETS[:, None]).min(axis=1)
         low = m if low is None else np.minimum(low, m)
-    return (mix(low) & np.uint64(0xFFFF)).astype(np.uint16)
+    return mix(low)
