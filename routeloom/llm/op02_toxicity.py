@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from routeloom.llm.op03_byte_bpe import slices
 from routeloom.storage import materialize
 
-_SEGMENT, _CACHE = 512, 400_000
+_SEGMENT, _CACHE = 512, 250_000
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»„“”‘’…"
 
 
@@ -147,10 +147,13 @@ def marginals(potentials: list[np.ndarray], pairs: np.ndarray, start: float) ->
 
 
 def document_features(m: np.ndarray) -> tuple[float, float, float]:
-    """Aggregate of a document's marginals: the largest, the expected number and the expected share of toxic tokens."""
+    """Aggregate of a document's marginals: the largest, and the expected number and share of toxic tokens.
+
+    Number and share count offending tokens only, so that the small marginals of a very long clean text don't add up.
+    """
     if not len(m):
         return 0.0, 0.0, 0.0
-    total = float(m.sum())
+    total = float(m[m >= 0.5].sum())
     return float(m.max()), float(np.log1p(total)), float(np.sqrt(total / len(m)))
 
 
@@ -314,7 +317,7 @@ def toxicity(docs: DataFrame, model: Field, threshold: float = 0.7, id_col: str
     out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("spans", pa.list_(span))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chain.from_iterable(slices(b, 4000, 8_000_000) for b in batches):
+        for batch in chain.from_iterable(slices(b, 2000, 3_000_000) for b in batches):
             found = list(score_texts(model, batch.column("text").to_pylist()))
             spans = [[{"start": a, "end": b} for a, b in s] for _, s in found]
             columns = [
@@ -337,7 +340,7 @@ def reject_toxic(docs: DataFrame, model: Field, threshold: float = 0.7, text_col
         for batch in batches:
             texts = batch.column(at).cast(pa.string())
             keep: list[bool] = []
-            for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), 4000, 8_000_000):
+            for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), 2000, 3_000_000):
                 keep += [s < threshold for s, _ in score_texts(model, part.column(0).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
