@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 _KEY = "spark.checkpoint.dir"
 _own: str | None = None
@@ -42,3 +44,21 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, which are counted; else as it is.
+
+    For written tables of a few numbers a row: a million of them take some tens of MB in an executor.
+    """
+    return broadcast(df) if df.count() <= rows else df
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps whose results were written.
+
+    Its cleaner removes them once the driver's collector has seen that no plan refers to them, which else may take
+    half an hour; a job of many large steps would meanwhile hold the shuffles of all of them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
