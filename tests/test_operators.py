@@ -279,3 +279,77 @@ def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).limit(1).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert DATA
+
+
+def _profiles(spark):
+    from routeloom.operators.workflows import DOMAIN_NEIGHBORS, ROLE_ORDER
+
+    domains, roles = sorted(DOMAIN_NEIGHBORS), sorted(ROLE_ORDER)
+    data = [(f"s{i:02}", i, domains[i % 7], [roles[i % 13], roles[(i * 5) % 13]], [f"f{i}", f"f{i % 9}"], ["low", "high"][i % 2]) for i in range(40)]
+    return spark.createDataFrame(data, "skill_id string, rank int, domain string, roles array<string>, features array<string>, mobile_fit string")
+
+
+def test_workflows_cover_every_anchor_without_repeats(spark):
+    from routeloom.operators import workflows
+
+    found = workflows.built_workflows(_profiles(spark), 4, 7).collect()
+    assert len(found) == 160 and len({r.workflow_id for r in found}) == 160
+    assert len({frozenset(r.skill_ids) for r in found}) > 150  # a set repeats only where no other is left
+    assert all(r.anchor_skill_id in r.skill_ids and len(set(r.skill_ids)) == [2, 3, 4, 3][r.anchor_round] for r in found)
+    with pytest.raises(ValueError, match="more than"):
+        workflows.built_workflows(_profiles(spark), 4, 7, most=10)
+
+
+def test_recovery_rules(spark):
+    from routeloom.operators import workflows
+
+    specs = spark.createDataFrame([(1, "s01", ["s02", "s02"]), (2, "s02", ["s01"]), (3, "s03", []), (4, "s04", ["zz"])], "spec int, anchor_skill_id string, collaborator_skill_ids array<string>")
+    good, bad = workflows.recovered_workflows(specs, _profiles(spark))
+    assert [(r.anchor_skill_id, sorted(r.skill_ids)) for r in good.collect()] == [("s01", ["s01", "s02"])]
+    assert rows(bad, "spec") == [(2, "set twice"), (3, "number of skills"), (4, "unknown skill")]
+
+
+def test_queries_payloads_and_export(spark):
+    from routeloom.operators import workflows
+
+    queries = spark.createDataFrame([("q1", "t", ["b", "x", "a", "b"]), ("q2", None, ["x"]), (" ", "t", ["a"])], "query_id string, query string, skill_ids array<string>")
+    catalog = spark.createDataFrame([("a",), ("b",)], "skill_id string")
+    assert [tuple(r) for r in workflows.normalized_queries(queries, catalog).collect()] == [("q1", "t", ["b", "a"], 2)]
+    body = '```json\n{"items": [{"workflow_id": "w1", "variants": [{"query": "x"}, {"query": "y"}]}, {"workflow_id": "w2", "variants": [{"query": "z"}]}, {"workflow_id": "w9", "variants": []}]}\n```'
+    responses = spark.createDataFrame([(1, body)], "batch int, body string")
+    asked = spark.createDataFrame([(1, "w1"), (1, "w2"), (1, "w3")], "batch int, workflow_id string")
+    good, bad = workflows.parsed_payloads(responses, asked, 2)
+    assert rows(good, "variant") == [("w1", 0, "x"), ("w1", 1, "y")]
+    assert rows(bad, "workflow_id") == [("w2", "variant count"), ("w3", "missing"), ("w9", "not requested")]
+    reviews = spark.createDataFrame([("q1", True)], "query_id string, pass boolean")
+    out = workflows.exported(queries.withColumn("workflow_id", F.lit("w")), reviews, F.lit("train"))
+    assert workflows.manifest(out) == '{"train": {"rows": 1, "workflows": 1, "targets": 4.0}}'
+    assert [r.skill_id for r in workflows.coverage_failures(out, spark.createDataFrame([("a",), ("c",)], "skill_id string"), 1).collect()] == ["c"]
+    gold = spark.createDataFrame([("q1", "a"), ("q1", "b")], "query_id string, skill_id string")
+    counts = spark.createDataFrame([("a", 4)], "skill_id string, n int")
+    assert rows(workflows.recall_by_frequency(gold.filter("skill_id = 'a'"), gold, counts), "bin") == [("0", 1, 0.0), ("3-5", 1, 1.0)]
+
+
+def test_strategies_keep_codes_and_roll_back(spark, tmp_path):
+    from routeloom.operators import strategies
+
+    skills = spark.createDataFrame([("a", "x", "1"), ("b", "x", "2"), ("c", "y", "1")], "skill_id string, l1 string, l2 string")
+    s = strategies.create("taxonomy", labels=["l1", "l2"], limit=3).fit(skills)
+    before = {r.skill_id: r.indices for r in s.members.collect()}
+    assert before == {"a": [0, 0], "b": [0, 1], "c": [1, 0]}
+    s.add(spark.createDataFrame([("d", "x", "0")], "skill_id string, l1 string, l2 string"))
+    after = {r.skill_id: r.indices for r in s.members.collect()}
+    assert after == before | {"d": [0, 2]}
+    with pytest.raises(ValueError, match="no slot"):
+        s.add(spark.createDataFrame([("e", "x", "9")], "skill_id string, l1 string, l2 string"))
+    assert {r.skill_id: r.indices for r in s.members.collect()} == after
+    s.remove(spark.createDataFrame([("a",)], "skill_id string"))
+    assert sorted(r.skill_id for r in s.decode([0]).collect()) == ["b", "d"]
+    s.save(str(tmp_path / "s"))
+    again = strategies.load(spark, str(tmp_path / "s"))
+    assert again.state() == s.state() and again.members.count() == 3 and again.next_tokens().count() == s.next_tokens().count()
+    vectors_ = spark.createDataFrame([(f"v{i}", [math.sin(i), math.cos(i * 3)]) for i in range(12)], "skill_id string, vector array<double>")
+    b = strategies.create("balanced", sizes=[3], iterations=3).fit(vectors_)
+    assert sorted(r["count"] for r in b.members.groupBy("indices").count().collect()) == [4, 4, 4]
+    with pytest.raises(ValueError, match="unknown"):
+        strategies.create("other")
