@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routeloom.llm.expressions import let
-from routeloom.storage import materialize
+from routeloom.storage import broadcast_if_small, materialize
 
 #: Spaced seeds: fixed values, lossless for two substitutions in thirteen words.
 MASKS = ("11101011", "11001111")
@@ -125,4 +125,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """``docs`` without the rows whose id holds benchmark text; all columns pass through."""
     bad = materialize(contaminated_pairs(docs, benchmark, id_col=id_col, **options).select("doc_id").distinct(), "contaminated")
     bad = bad.select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("__bad")), "left_anti")
+    return docs.join(broadcast_if_small(bad), F.col(f"`{id_col}`").eqNullSafe(F.col("__bad")), "left_anti")

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from routeloom.llm.components import components
 from routeloom.llm.op03_byte_bpe import slices
 from routeloom.llm.wordhash import minwise, mix, shingle_sets
-from routeloom.storage import materialize
+from routeloom.storage import broadcast_if_small, materialize, release
 
 COORDINATES = 256
 
@@ -54,7 +54,7 @@ def set_digests(docs: DataFrame, trees: int, id_col: str = "doc_id", text_col: s
     out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary()), ("roots", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chain.from_iterable(slices(b, 2000, 4_000_000) for b in batches):
+        for batch in chain.from_iterable(slices(b, 1000, 1_000_000) for b in batches):
             sets = shingle_sets(batch.column("text").to_pylist())
             values = [minwise(s) for s in sets]
             columns = [
@@ -74,7 +74,7 @@ def full_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     out = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chain.from_iterable(slices(b, 2000, 4_000_000) for b in batches):
+        for batch in chain.from_iterable(slices(b, 1000, 1_000_000) for b in batches):
             sets = shingle_sets(batch.column("text").to_pylist())
             offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
@@ -299,10 +299,16 @@ def exact_links(members: DataFrame, percent: int) -> DataFrame:
     return _dealt(members).mapInArrow(run, "a long, b long").distinct()
 
 
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Full sets of the documents with the given distinct ids; their texts are shuffled only if the ids are very many."""
+    ids = broadcast_if_small(materialize(ids, "ids"))
+    return full_sets(docs.join(ids, "doc_id", "left_semi")).dropDuplicates(["doc_id"])
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` with 100 * intersection >= percent * union of their full sets."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialize(full_sets(docs.join(ids, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
+    sets = materialize(_sets_of(docs, ids), "sets")
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -331,13 +337,15 @@ def similarity_classes(
     reps = materialize(reps.dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sig", "roots"), "reps")
     leaves = chosen_path_leaves(reps, trees, leaf, per_step, branching, max_steps)
     members = materialize(leaves.join(reps.drop("roots"), "doc_id"), "members")
+    release(docs.sparkSession)
     threshold = percent / 100
     links = materialize(confirmed(materialize(forest_pairs(members, threshold, slack), "pairs"), texts, percent), "links")
     first = materialize(components(links), "components")
+    release(docs.sparkSession)
     with_component = members.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     with_component = with_component.withColumn("component", F.coalesce("component", "doc_id"))
     open_members = materialize(undecided_members(with_component, threshold, slack), "undecided")
-    sets = full_sets(texts.join(open_members.select("doc_id").distinct(), "doc_id", "left_semi")).dropDuplicates(["doc_id"])
+    sets = _sets_of(texts, open_members.select("doc_id").distinct())
     more = materialize(exact_links(open_members.join(sets, "doc_id"), percent), "links")
     last = first
     if more.limit(1).count():
@@ -358,4 +366,4 @@ def near_dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_
     """
     found = similarity_classes(docs, percent, id_col, text_col, **options)
     gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(materialize(gone, "gone"), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    return docs.join(broadcast_if_small(materialize(gone, "gone")), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
