@@ -74,7 +74,30 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op5.contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = op5.contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("item_ids", F.array_join(F.col("item_ids").cast("array<string>"), ","))
+
+
+def _sql_seed(mask: str) -> str:
+    return " || ' ' || ".join(f"ws[pos + {k + 1}]" for k, bit in enumerate(mask) if bit == "1")
+
+
+_SPLIT = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id AS id, {_SPLIT} AS ws FROM documents),
+i AS (SELECT item_id AS id, {_SPLIT} AS ws FROM benchmark),
+dp AS (SELECT id, unnest(range(0, len(ws) - 7)) AS pos, ws FROM d WHERE len(ws) >= 8),
+ip AS (SELECT id, unnest(range(0, len(ws) - 7)) AS pos, ws FROM i WHERE len(ws) >= 8),
+ds AS ({" UNION ALL ".join(f"SELECT id, pos, {m} AS m, {_sql_seed(x)} AS s FROM dp" for m, x in enumerate(op5.MASKS))}),
+js AS ({" UNION ALL ".join(f"SELECT id, pos, {m} AS m, {_sql_seed(x)} AS s FROM ip" for m, x in enumerate(op5.MASKS))}),
+h AS (SELECT DISTINCT ds.id AS doc_id, ds.pos AS pos, js.id AS item_id, js.pos AS ipos FROM ds JOIN js ON ds.m = js.m AND ds.s = js.s),
+v AS (SELECT doc_id, item_id, least(len(i.ws), 13) AS wd, list_transform(range(greatest(0, ipos + 8 - least(len(i.ws), 13)), least(len(i.ws), ipos + least(len(i.ws), 13))),
+        lambda k: CASE WHEN pos - ipos + k >= 0 AND d.ws[pos - ipos + k + 1] = i.ws[k + 1] THEN 1 ELSE 0 END) AS f
+      FROM h JOIN d ON d.id = doc_id JOIN i ON i.id = item_id),
+o AS (SELECT doc_id, item_id, wd, list_max(list_transform(range(1, greatest(1, len(f) - wd + 1) + 1), lambda a: list_sum(f[a:a + wd - 1]))) AS best FROM v),
+p AS (SELECT doc_id, item_id, max(best) AS overlap FROM o WHERE best >= ceil(wd * 0.8::DOUBLE) GROUP BY doc_id, item_id)
+SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS item_ids, max(overlap)::INTEGER AS overlap FROM p GROUP BY doc_id
+"""
 
 
 URL_RULES = [
@@ -128,6 +151,21 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+OP10_SQL = """
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM t WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
+r(u, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.u, r.m FROM r JOIN e ON r.u = e.v)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT u, min(m) AS component_id FROM r GROUP BY u) c ON c.u = d.doc_id
+"""
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -141,4 +179,4 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
 }
 
-ORACLES = {"op7_line_dedup": OP7_SQL}
+ORACLES = {"op5_decontamination": OP5_SQL, "op7_line_dedup": OP7_SQL, "op10_near_dedup": OP10_SQL}
