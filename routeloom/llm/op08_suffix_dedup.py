@@ -6,9 +6,9 @@ or further left in the same one. Texts are UTF-8 bytes, and matches never cross
 1. Texts that equal an earlier text are copies. All of a copy of ``length`` bytes or more repeats; it goes no further.
 2. Each remaining text is winnowed: of the hashes of its 32-byte strings the least in every window of ``length`` bytes
    is an anchor. Equal windows have equal anchors at equal places, so a window can repeat only if its anchor does.
-3. An anchor that occurs once is done with. For the others the context is cut out, all bytes of any window that the
+3. An anchor that occurs once is done with. For the others the context is hashed, all bytes of any window that the
    anchor may stand for. Contexts that are equal as a whole are merged; all but the earliest repeat throughout.
-4. What is left are different contexts of one anchor. Up to ``leaf`` of them are laid end to end and sorted by their
+4. What is left are different contexts of one anchor, whose bytes are cut out now. Up to ``leaf`` of them are laid end to end and sorted by their
    suffixes (see suffix_grouping), a slice of many anchors at once; windows that are neighbours in that order and
    equal repeat, but for the earliest.
 5. An anchor with more than ``leaf`` different contexts, as at the edge of a passage that a third of all documents
@@ -25,7 +25,7 @@ before all others; an empty table gives an empty result; only the named columns
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 from collections.abc import Iterator
 from itertools import chain
 
@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from routeloom.llm.op03_byte_bpe import slices
 from routeloom.llm.suffix_grouping import suffix_arrays
 from routeloom.llm.wordhash import mix, powers
-from routeloom.storage import materialize
+from routeloom.llm.workers import tidy
+from routeloom.storage import materialize, release
 
 GRAM = 32
 _LOW = np.uint64((1 << 24) - 1)
@@ -54,12 +55,21 @@ def _hashes(data: np.ndarray, length: int, salt: int = 1) -> np.ndarray:
     return mix((sums[last] - sums[:-1]) * q[:n])
 
 
-def anchors_of(raws: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, place and hash of every anchor of texts laid end to end."""
+def anchors_of(raws: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, hash, and start and end of the context of every anchor of texts laid end to end.
+
+    A context is all bytes of the windows that have the anchor; these windows follow one another.
+    """
     data = np.frombuffer(b"".join(raws), dtype=np.uint8)
     edges = np.cumsum([0, *map(len, raws)])
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    whole = np.zeros(len(data) + 1, dtype=np.int8)  # windows that lie within one text
+    fit = np.diff(edges) >= length
+    np.add.at(whole, edges[:-1][fit], 1)
+    np.add.at(whole, edges[1:][fit] - length + 1, -1)
+    windows = np.flatnonzero(np.cumsum(whole[:-1]) > 0)
+    if not len(windows):
+        none = np.zeros(0, np.int64)
+        return none, none.view(np.uint64), none, none
     h = _hashes(data, GRAM)
     least = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)  # ties: the leftmost
     width, reach = 1, length - GRAM + 1
@@ -69,26 +79,26 @@ def anchors_of(raws: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray,
     if reach > width:
         more = np.append(least[reach - width :], np.full(min(reach - width, len(least)), np.uint64(2**64 - 1)))
         least = np.minimum(least, more[: len(least)])
-    whole = np.zeros(len(data) + 1, dtype=np.int8)  # windows that lie within one text
-    fit = np.diff(edges) >= length
-    np.add.at(whole, edges[:-1][fit], 1)
-    np.add.at(whole, edges[1:][fit] - length + 1, -1)
-    at = np.unique((least[np.cumsum(whole[:-1]) > 0] & _LOW).astype(np.int64))
-    text = np.searchsorted(edges, at, side="right") - 1
-    return text, at - edges[text], h[at]
+    at = (least[windows] & _LOW).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    last = np.append(first[1:], len(at)) - 1
+    text = np.searchsorted(edges, windows[first], side="right") - 1
+    return text, h[at[first]], windows[first] - edges[text], windows[last] + length - edges[text]
 
 
 def _anchors(texts: DataFrame, length: int) -> DataFrame:
-    out = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("at", pa.int32())])
+    fields = [("anchor", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]
+    out = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chain.from_iterable(slices(b, 2000, 1_500_000) for b in batches):
             for part in _bounded(batch):
-                text, at, h = anchors_of([(t or "").encode() for t in part.column("text").to_pylist()], length)
-                columns = [h.view(np.int64), part.column("doc_id").take(pa.array(text)), part.column("tie").take(pa.array(text))]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0]), *columns[1:], pa.array(at.astype(np.int32))], schema=out)
+                text, h, start, end = anchors_of([(t or "").encode() for t in part.column("text").to_pylist()], length)
+                owner = [part.column(c).take(pa.array(text)) for c in ("doc_id", "tie")]
+                ends = [pa.array(x.astype(np.int32)) for x in (start, end)]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *owner, *ends], schema=out)
 
-    return texts.select("doc_id", "tie", "text").mapInArrow(run, "anchor long, doc_id long, tie long, at int")
+    return texts.select("doc_id", "tie", "text").mapInArrow(tidy(run), "anchor long, doc_id long, tie long, start int, end int")
 
 
 def _bounded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -109,30 +119,62 @@ def _packed(rows: DataFrame) -> DataFrame:
             small = [compress(t.encode()) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(small, pa.binary())], schema=out)
 
-    return rows.select("doc_id", "tie", "text").mapInArrow(run, "doc_id long, tie long, text binary")
+    return rows.select("doc_id", "tie", "text").mapInArrow(tidy(run), "doc_id long, tie long, text binary")
 
 
-def _contexts(found: DataFrame, length: int) -> DataFrame:
-    """``anchor, ctx, ctx_key, doc_id, tie, start``: the context of each repeated anchor, with a hash of its bytes."""
-    out = pa.schema(
-        [("anchor", pa.int64()), ("ctx_key", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("ctx", pa.binary())]
-    )
+def _context_keys(found: DataFrame, length: int) -> DataFrame:
+    """``anchor, ctx_key, doc_id, tie, start, end``: the context of each repeated anchor, with a hash of its bytes.
+
+    The hash comes from running sums over the bytes of a slice, all contexts at once; with the anchor's own hash it
+    makes 128 bits.
+    """
+    fields = [("anchor", pa.int64()), ("ctx_key", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]
+    out = pa.schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in chain.from_iterable(slices(b, 2000, 700_000) for b in batches):
+            raws = [unpack(t) for t in batch.column("text").to_pylist()]
+            data = np.frombuffer(b"".join(raws), dtype=np.uint8)
+            edges = np.cumsum([0, *map(len, raws)])
+            lists = batch.column("places")
+            places = lists.flatten()
+            row = np.repeat(np.arange(len(raws)), np.diff(lists.offsets.to_numpy()))
+            start, end = (places.field(c).to_numpy() + edges[row] for c in ("start", "end"))
+            p, q = powers(len(data) + 1)
+            sums = np.zeros(len(data) + 1, dtype=np.uint64)
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], dtype=np.uint64, out=sums[1:])
+            key = mix((sums[end] - sums[start]) * q[start] + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+            take = pa.array(row)
+            columns = [places.field("anchor"), pa.array(key.view(np.int64)), batch.column("doc_id").take(take), batch.column("tie").take(take)]
+            ends = [pa.array((x - edges[row]).astype(np.int32)) for x in (start, end)]
+            yield pa.RecordBatch.from_arrays(columns + ends, schema=out)
+
+    return found.mapInArrow(tidy(run), "anchor long, ctx_key long, doc_id long, tie long, start int, end int")
+
+
+def _context_bytes(found: DataFrame) -> DataFrame:
+    """``anchor, doc_id, tie, start, n, ctx`` from packed texts with a list ``places`` of contexts."""
+    out = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("n", pa.int64()), ("ctx", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in chain.from_iterable(slices(b, 500, 700_000) for b in batches):
-            rows: list[list] = [[], [], [], [], [], []]
-            for text, doc, tie, places in zip(*(batch.column(c).to_pylist() for c in ("text", "doc_id", "tie", "places")), strict=True):
+            lists = batch.column("places")
+            places = lists.flatten()
+            counts = np.diff(lists.offsets.to_numpy())
+            take = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+            start, end = places.field("start").to_pylist(), places.field("end").to_pylist()
+            ctx, i = [], 0
+            for text, k in zip(batch.column("text").to_pylist(), counts.tolist(), strict=True):
                 raw = unpack(text)
-                for p in places:
-                    start = max(0, p["at"] + GRAM - length)
-                    ctx = raw[start : p["at"] + length]
-                    key = int.from_bytes(hashlib.blake2b(ctx, digest_size=8).digest(), "little", signed=True)
-                    for column, value in zip(rows, (p["anchor"], key, doc, tie, start, ctx), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(rows, out, strict=True)], schema=out)
+                for _ in range(k):
+                    ctx.append(raw[start[i] : end[i]])
+                    i += 1
+            columns = [places.field("anchor"), batch.column("doc_id").take(take), batch.column("tie").take(take), places.field("start"), places.field("n")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(ctx, pa.binary())], schema=out)
 
-    return found.mapInArrow(run, "anchor long, ctx_key long, doc_id long, tie long, start int, ctx binary")
+    return found.mapInArrow(tidy(run), "anchor long, doc_id long, tie long, start int, n long, ctx binary")
 
 
 _SPANS = "doc_id long, tie long, start int, end int"
@@ -196,7 +238,7 @@ def _joined_spans(doc: np.ndarray, tie: np.ndarray, place: np.ndarray, length: i
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_span_schema())
 
 
-def _sorted_by_suffix(contexts: DataFrame, length: int, most_bytes: int = 2_000_000) -> DataFrame:
+def _sorted_by_suffix(contexts: DataFrame, length: int, most_bytes: int = 6_000_000) -> DataFrame:
     """Repeated spans among different contexts of one anchor; rows of an anchor meet in one task, a bounded number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,9 +246,19 @@ def _sorted_by_suffix(contexts: DataFrame, length: int, most_bytes: int = 2_000_
         size = 0
 
         def solve(table: pa.Table) -> pa.RecordBatch:
-            anchor, doc, tie, start = (table.column(c).to_numpy() for c in ("anchor", "doc_id", "tie", "start"))
-            r, place = repeated_windows(anchor, doc, tie, start, table.column("ctx").to_pylist(), length)
-            return _joined_spans(doc[r], tie[r], place, length)
+            """Anchors of alike numbers of contexts go in step together: a step costs the same for few and for many."""
+            anchor = table.column("anchor").to_numpy()
+            change = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+            first = np.flatnonzero(change)
+            many = np.repeat(np.diff(np.append(first, len(anchor))), np.diff(np.append(first, len(anchor))))
+            found = []
+            for low, high in itertools.pairwise((0, 2, 4, 10, 30, 1 << 62)):
+                part = table.filter(pa.array((many > low) & (many <= high)))
+                if part.num_rows:
+                    own, doc, tie, start = (part.column(c).to_numpy() for c in ("anchor", "doc_id", "tie", "start"))
+                    r, place = repeated_windows(own, doc, tie, start, part.column("ctx").to_pylist(), length)
+                    found.append((doc[r], tie[r], place))
+            return _joined_spans(*(np.concatenate(x) for x in zip(*found, strict=True)), length)
 
         for batch in batches:
             if not batch.num_rows:
@@ -224,7 +276,7 @@ def _sorted_by_suffix(contexts: DataFrame, length: int, most_bytes: int = 2_000_
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    return contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _SPANS)
+    return contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidy(run), _SPANS)
 
 
 def _split_by_window(contexts: DataFrame, length: int) -> DataFrame:
@@ -249,7 +301,7 @@ def _split_by_window(contexts: DataFrame, length: int) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=out)
 
-    rows = contexts.select("ctx", "doc_id", "tie", "start").mapInArrow(run, "a long, b long, doc_id long, tie long, at int")
+    rows = contexts.select("ctx", "doc_id", "tie", "start").mapInArrow(tidy(run), "a long, b long, doc_id long, tie long, at int")
     rows = materialize(rows, "windows")
     first = rows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "tie", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
     later = rows.join(first.filter("n > 1"), ["a", "b"]).filter(F.struct("doc_id", "tie", "at") != F.col("first"))
@@ -287,10 +339,10 @@ def _cut_out(rows: DataFrame) -> DataFrame:
             columns = [pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, runs))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), *columns], schema=out)
 
-    return rows.mapInArrow(run, "doc_id long, tie long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return rows.mapInArrow(tidy(run), "doc_id long, tie long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, leaf: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, leaf: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, kept binary, n_bytes, n_removed, n_spans``: each text without the bytes that repeat."""
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
@@ -312,23 +364,31 @@ def suffix_dedup(docs: DataFrame, length: int = 100, leaf: int = 200, id_col: st
     anchors = _anchors(texts, length)
     repeated = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     repeated = materialize(repeated, "anchors")
-    places = anchors.join(repeated, "anchor").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("anchor", "at")).alias("places"))
-    contexts = materialize(_contexts(_packed(texts).join(places, ["doc_id", "tie"]), length), "contexts")
+    release(docs.sparkSession)
+    places = anchors.join(repeated, "anchor").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("anchor", "start", "end")).alias("places"))
+    contexts = materialize(_context_keys(_packed(texts).join(places, ["doc_id", "tie"]), length), "contexts")
+    release(docs.sparkSession)
 
     key = ["anchor", "ctx_key"]
     distinct = contexts.groupBy(*key).agg(F.min(F.struct("doc_id", "tie", "start")).alias("first"))
     distinct = materialize(distinct, "distinct-contexts")
-    with_first = contexts.join(distinct, key)
-    is_first = F.struct("doc_id", "tie", "start") == F.col("first")
-    whole = with_first.filter(~is_first).select("doc_id", "tie", "start", (F.col("start") + F.octet_length("ctx")).cast("int").alias("end"))
+    release(docs.sparkSession)
     several = materialize(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "several")
-    firsts = with_first.filter(is_first).drop("first").dropDuplicates(["anchor", "ctx_key"])
-    firsts = materialize(firsts.join(several, "anchor"), "first-contexts")
-    spans = whole.union(_sorted_by_suffix(firsts.filter(F.col("n") <= leaf).drop("n"), length))
+    marked = materialize(
+        contexts.join(distinct, key).select("*", (F.struct("doc_id", "tie", "start") == F.col("first")).alias("is_first")).drop("first", "ctx_key"), "marked"
+    )
+    release(docs.sparkSession)
+    spans = marked.filter("not is_first").select("doc_id", "tie", "start", "end")
+    firsts = marked.filter("is_first").drop("is_first").dropDuplicates(["anchor", "doc_id", "tie", "start", "end"]).join(several, "anchor")
+    wanted = firsts.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("anchor", "start", "end", "n")).alias("places"))
+    firsts = materialize(_context_bytes(_packed(texts).join(wanted, ["doc_id", "tie"])), "first-contexts")
+    release(docs.sparkSession)
+    spans = spans.union(_sorted_by_suffix(firsts.filter(F.col("n") <= leaf).drop("n"), length))
     if several.filter(F.col("n") > leaf).limit(1).count():
         spans = spans.union(_split_by_window(firsts.filter(F.col("n") > leaf), length))
     spans = spans.union(copies.select("doc_id", "tie", F.lit(0).alias("start"), F.col("n").cast("int").alias("end")))
-    per_text = spans.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    per_text = materialize(spans.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    release(docs.sparkSession)
     found = _cut_out(_packed(rows).join(per_text, ["doc_id", "tie"], "left").select("doc_id", "tie", "text", "spans"))
     null_id = F.col("doc_id") == F.lit(-(1 << 63))
     return found.select(F.when(~null_id, F.col("doc_id")).alias("doc_id"), "kept", "n_bytes", "n_removed", "n_spans")
