@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from routeloom.llm.workers import tidy
+
 UNDETERMINED = "und"
 #: ASCII punctuation and digits say nothing about the language.
 _DROPPED = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
@@ -114,4 +116,4 @@ def language_id(
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], schema=out)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, margin double, rejected boolean")
+    return rows.mapInArrow(tidy(run), "doc_id long, lang_pred string, score double, margin double, rejected boolean")

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routeloom.llm.op03_byte_bpe import slices
+from routeloom.llm.workers import tidy
 from routeloom.storage import materialize
 
 _SEGMENT, _CACHE = 512, 250_000
@@ -329,7 +330,7 @@ def toxicity(docs: DataFrame, model: Field, threshold: float = 0.7, id_col: str
             yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int, spans array<struct<start:int,end:int>>")
+    return rows.mapInArrow(tidy(run), "doc_id long, score double, predicted int, spans array<struct<start:int,end:int>>")
 
 
 def reject_toxic(docs: DataFrame, model: Field, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
@@ -344,4 +345,4 @@ def reject_toxic(docs: DataFrame, model: Field, threshold: float = 0.7, text_col
                 keep += [s < threshold for s, _ in score_texts(model, part.column(0).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 from itertools import chain
 
 import pyarrow as pa
@@ -22,8 +22,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_BLOCK = 256
-#: Pre-tokens whose ids a worker remembers, in each of two generations, and the longest that it remembers.
+from routeloom.llm.workers import tidy
+
+#: Pre-tokens whose ids a worker remembers before it starts afresh, and the longest that it remembers.
 CACHE_ENTRIES, CACHE_LENGTH = 300_000, 48
 
 
@@ -38,48 +39,49 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions by merge rank; ``pop`` gives the leftmost position of the lowest rank."""
+    """Positions by merge rank; ``pop`` gives the leftmost position of the lowest rank.
+
+    A rank with one waiting position, which is nearly every one, has the bare position as its bucket.
+    """
 
     __slots__ = ("blocks", "buckets", "top")
 
     def __init__(self) -> None:
         self.top = 0
         self.blocks: dict[int, int] = {}
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, int | list[int]] = {}
 
     def push(self, rank: int, at: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, at)
-            return
-        self.buckets[rank] = [at]
-        block = rank // _BLOCK
-        self.blocks[block] = self.blocks.get(block, 0) | 1 << rank % _BLOCK
-        self.top |= 1 << block
-
-    def fill(self, ranks: dict[int, list[int]]) -> None:
-        """The first positions of all ranks at once; the lists must be ascending."""
-        for rank, positions in ranks.items():
-            heapify(positions)
-            self.buckets[rank] = positions
-            block = rank // _BLOCK
-            self.blocks[block] = self.blocks.get(block, 0) | 1 << rank % _BLOCK
+        if bucket is None:
+            self.buckets[rank] = at
+            block = rank >> 8
+            self.blocks[block] = self.blocks.get(block, 0) | 1 << (rank & 255)
             self.top |= 1 << block
+        elif bucket.__class__ is int:
+            self.buckets[rank] = [bucket, at] if bucket < at else [at, bucket]
+        else:
+            heappush(bucket, at)
 
     def pop(self) -> tuple[int, int] | None:
-        if not self.top:
+        top = self.top
+        if not top:
             return None
-        block = (self.top & -self.top).bit_length() - 1
+        block = (top & -top).bit_length() - 1
         bits = self.blocks[block]
         low = bits & -bits
-        rank = block * _BLOCK + low.bit_length() - 1
+        rank = (block << 8) + low.bit_length() - 1
         bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.blocks[block] = bits = bits ^ low
-            if not bits:
-                self.top ^= 1 << block
+        if bucket.__class__ is not int:
+            at = heappop(bucket)
+            if bucket:
+                return rank, at
+        else:
+            at = bucket
+        del self.buckets[rank]
+        self.blocks[block] = bits = bits ^ low
+        if not bits:
+            self.top = top ^ (1 << block)
         return rank, at
 
 
@@ -92,18 +94,13 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     get = ranks.get
     end = list(range(1, n + 1))  # end[i]: where the span that starts at i ends; 0 once i was merged away
     before = list(range(-1, n - 1))
-    first: dict[int, list[int]] = {}
     waiting = [-1] * n  # the rank under which the pair that starts at i was queued last
+    queue = RankQueue()
     for i in range(n - 1):
         rank = get(piece[i : i + 2])
         if rank is not None:
             waiting[i] = rank
-            if rank in first:
-                first[rank].append(i)
-            else:
-                first[rank] = [i]
-    queue = RankQueue()
-    queue.fill(first)
+            queue.push(rank, i)
     push, pop = queue.push, queue.pop
     while (found := pop()) is not None:
         rank, i = found
@@ -139,21 +136,18 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 
 
 class Encoder(dict):
-    """Ids by pre-token, computed when missing; holds two generations of a bounded number of short pre-tokens."""
+    """Ids by pre-token, computed when missing; holds a bounded number of short pre-tokens."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         super().__init__()
-        self.ranks, self.old = ranks, {}
+        self.ranks = ranks
         self.find = regex.compile(pattern).findall
         self.bytes_of = {r: t for t, r in ranks.items()}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = encode_piece(piece.encode(), self.ranks)
+        ids = encode_piece(piece.encode(), self.ranks)
         if len(piece) <= CACHE_LENGTH:
             if len(self) >= CACHE_ENTRIES:
-                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -213,7 +207,7 @@ def bpe_encode(
             yield pa.RecordBatch.from_arrays(columns + [pa.array(plain, pa.binary())] * decoded, schema=out)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>" + ", decoded binary" * decoded)
+    return rows.mapInArrow(tidy(run), "doc_id long, ids array<int>" + ", decoded binary" * decoded)
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -227,4 +221,4 @@ def bpe_decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(plain, pa.binary())], schema=out)
 
     rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return rows.mapInArrow(run, "doc_id long, decoded binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, decoded binary")

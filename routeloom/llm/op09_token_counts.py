@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routeloom.llm.op03_byte_bpe import load_ranks, slices
+from routeloom.llm.workers import tidy
 
 #: Counts of short pre-tokens that a worker remembers, in each of two generations.
 CACHE_ENTRIES, CACHE_LENGTH = 400_000, 48
@@ -111,4 +112,4 @@ def token_counts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counter.count(texts), pa.int64()), sizes], schema=out)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_bytes long")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_tokens long, n_bytes long")

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from routeloom.llm.components import components
 from routeloom.llm.op03_byte_bpe import slices
 from routeloom.llm.wordhash import minwise, mix, shingle_sets
+from routeloom.llm.workers import tidy
 from routeloom.storage import broadcast_if_small, materialize, release
 
 COORDINATES = 256
@@ -66,7 +67,7 @@ def set_digests(docs: DataFrame, trees: int, id_col: str = "doc_id", text_col: s
             ]
             yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary, roots binary")
+    return _texts(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_shingles long, digest binary, sig binary, roots binary")
 
 
 def full_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,7 +81,7 @@ def full_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, flat)], schema=out)
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, shingles array<bigint>")
+    return _texts(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, shingles array<bigint>")
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
@@ -100,7 +101,7 @@ def _roots(reps: DataFrame, trees: int) -> DataFrame:
                 ids = np.repeat(batch.column("doc_id").to_numpy(), trees)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(ids)], schema=out)
 
-    return reps.select("doc_id", "roots").mapInArrow(run, "node long, doc_id long")
+    return reps.select("doc_id", "roots").mapInArrow(tidy(run), "node long, doc_id long")
 
 
 def _children(members: DataFrame, per_step: int, branching: float) -> DataFrame:
@@ -126,7 +127,7 @@ def _children(members: DataFrame, per_step: int, branching: float) -> DataFrame:
                     key = mix(key + sig[rows, which] + (which << np.uint64(20)))
                 yield pa.RecordBatch.from_arrays([pa.array(key[there].view(np.int64)), pa.array(ids[there])], schema=out)
 
-    return members.select("node", "doc_id", "sig").mapInArrow(run, "node long, doc_id long")
+    return members.select("node", "doc_id", "sig").mapInArrow(tidy(run), "node long, doc_id long")
 
 
 def chosen_path_leaves(reps: DataFrame, trees: int, leaf: int, per_step: int, branching: float, max_steps: int) -> DataFrame:
@@ -235,7 +236,7 @@ def forest_pairs(members: DataFrame, threshold: float, slack: float) -> DataFram
                 found.clear()
         yield _pairs(found)
 
-    return _dealt(members).mapInArrow(run, "a long, b long").distinct()
+    return _dealt(members).mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def undecided_members(members: DataFrame, threshold: float, slack: float) -> DataFrame:
@@ -253,7 +254,7 @@ def undecided_members(members: DataFrame, threshold: float, slack: float) -> Dat
             if len(at):
                 yield pa.RecordBatch.from_arrays([t.column("node").combine_chunks().take(pa.array(at)), pa.array(ids[at]), pa.array(comp[at])], schema=out)
 
-    return _dealt(members).mapInArrow(run, "node long, doc_id long, component long")
+    return _dealt(members).mapInArrow(tidy(run), "node long, doc_id long, component long")
 
 
 def exact_links(members: DataFrame, percent: int) -> DataFrame:
@@ -296,7 +297,7 @@ def exact_links(members: DataFrame, percent: int) -> DataFrame:
                 found.clear()
         yield _pairs(found)
 
-    return _dealt(members).mapInArrow(run, "a long, b long").distinct()
+    return _dealt(members).mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
