@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from routeloom.llm.workers import tidy
 
-#: Pre-tokens whose ids a worker remembers before it starts afresh, and the longest that it remembers.
-CACHE_ENTRIES, CACHE_LENGTH = 300_000, 48
+#: Pre-tokens whose ids a worker remembers, in each of two generations, and the longest that it remembers.
+CACHE_ENTRIES, CACHE_LENGTH = 200_000, 32
 
 
 def parse_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
@@ -136,18 +136,21 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 
 
 class Encoder(dict):
-    """Ids by pre-token, computed when missing; holds a bounded number of short pre-tokens."""
+    """Ids by pre-token, computed when missing; holds two generations of a bounded number of short pre-tokens."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.old = ranks, {}
         self.find = regex.compile(pattern).findall
         self.bytes_of = {r: t for t, r in ranks.items()}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = encode_piece(piece.encode(), self.ranks)
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = encode_piece(piece.encode(), self.ranks)
         if len(piece) <= CACHE_LENGTH:
             if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
