@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, as digests of the ids and of the bytes that they decode to."""
     path, pattern = registry.vocabulary()
-    coded = op03_byte_bpe.bpe_encode(docs, path, pattern, decoded=True)
+    coded = op03_byte_bpe.bpe_encode(docs, path, pattern, decoded=True, remembered=150_000)
     return coded.select("doc_id", *registry.bpe_digests())
 
 

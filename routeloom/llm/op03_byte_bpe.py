@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from routeloom.llm.workers import tidy
 
-#: Pre-tokens whose ids a worker remembers, in each of two generations, and the longest that it remembers.
-CACHE_ENTRIES, CACHE_LENGTH = 200_000, 32
+#: The longest pre-token whose ids a worker remembers.
+CACHE_LENGTH = 48
 
 
 def parse_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
@@ -138,9 +138,9 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 class Encoder(dict):
     """Ids by pre-token, computed when missing; holds two generations of a bounded number of short pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, entries: int = 300_000) -> None:
         super().__init__()
-        self.ranks, self.old = ranks, {}
+        self.ranks, self.old, self.entries = ranks, {}, entries
         self.find = regex.compile(pattern).findall
         self.bytes_of = {r: t for t, r in ranks.items()}
 
@@ -149,7 +149,7 @@ class Encoder(dict):
         if ids is None:
             ids = encode_piece(piece.encode(), self.ranks)
         if len(piece) <= CACHE_LENGTH:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.entries:
                 self.old = dict(self)
                 self.clear()
             self[piece] = ids
@@ -165,10 +165,11 @@ class Encoder(dict):
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str, pattern: str) -> Encoder:
-    """One encoder for each vocabulary and worker process."""
+def encoder(path: str, pattern: str, entries: int) -> Encoder:
+    """One encoder for each vocabulary and worker process; it keeps what it remembers between tasks."""
     if (path, pattern) not in _encoders:
         _encoders[path, pattern] = Encoder(load_ranks(path), pattern)
+    _encoders[path, pattern].entries = entries
     return _encoders[path, pattern]
 
 
@@ -186,17 +187,24 @@ def slices(batch: pa.RecordBatch, most_rows: int = 1000, most_bytes: int = 4_000
 
 
 def bpe_encode(
-    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False
+    docs: DataFrame,
+    ranks_path: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    decoded: bool = False,
+    remembered: int = 300_000,
 ) -> DataFrame:
     """``doc_id``, ``ids`` array<int> and, if asked for, ``decoded`` binary: the bytes that those ids decode to.
 
     ``ranks_path`` names a vocabulary file that every executor has. The whole text is encoded, each match of
-    ``pattern`` separately, without special tokens. One narrow pass; nothing is shuffled.
+    ``pattern`` separately, without special tokens. One narrow pass; nothing is shuffled. A worker remembers the ids
+    of twice ``remembered`` short pre-tokens, at about 250 bytes each.
     """
     out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))] + [("decoded", pa.binary())] * decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks_path, pattern)
+        enc = encoder(ranks_path, pattern, remembered)
         for batch in chain.from_iterable(map(slices, batches)):
             offsets, values, plain = [0], [], []
             for text in batch.column("text").to_pylist():
