@@ -91,7 +91,7 @@ def _anchors(texts: DataFrame, length: int) -> DataFrame:
     out = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chain.from_iterable(slices(b, 2000, 1_500_000) for b in batches):
+        for batch in chain.from_iterable(slices(b, 2000, 800_000) for b in batches):
             for part in _bounded(batch):
                 text, h, start, end = anchors_of([(t or "").encode() for t in part.column("text").to_pylist()], length)
                 owner = [part.column(c).take(pa.array(text)) for c in ("doc_id", "tie")]
@@ -238,7 +238,7 @@ def _joined_spans(doc: np.ndarray, tie: np.ndarray, place: np.ndarray, length: i
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_span_schema())
 
 
-def _sorted_by_suffix(contexts: DataFrame, length: int, most_bytes: int = 6_000_000) -> DataFrame:
+def _sorted_by_suffix(contexts: DataFrame, length: int, most_bytes: int = 3_000_000) -> DataFrame:
     """Repeated spans among different contexts of one anchor; rows of an anchor meet in one task, a bounded number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,10 +280,14 @@ def _sorted_by_suffix(contexts: DataFrame, length: int, most_bytes: int = 6_000_
 
 
 def _split_by_window(contexts: DataFrame, length: int) -> DataFrame:
-    """Repeated spans of anchors with very many contexts, by a 128-bit hash of each window."""
+    """Repeated spans of anchors with very many contexts, by a 128-bit hash of each window.
+
+    Only the earliest window of each hash is looked up again: of the windows of a text's contexts, those that are the
+    earliest of theirs stay, and all others repeat. So what is joined is a row for each text.
+    """
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("at", pa.int32())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ctx = batch.column("ctx").to_pylist()
             data = np.frombuffer(b"".join(ctx), dtype=np.uint8)
@@ -301,11 +305,24 @@ def _split_by_window(contexts: DataFrame, length: int) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=out)
 
-    rows = contexts.select("ctx", "doc_id", "tie", "start").mapInArrow(tidy(run), "a long, b long, doc_id long, tie long, at int")
-    rows = materialize(rows, "windows")
-    first = rows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "tie", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
-    later = rows.join(first.filter("n > 1"), ["a", "b"]).filter(F.struct("doc_id", "tie", "at") != F.col("first"))
-    return later.select("doc_id", "tie", F.col("at").alias("start"), (F.col("at") + length).cast("int").alias("end"))
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, ties, places = [], [], []
+            for doc, tie, own, firsts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie", "own", "firsts")), strict=True):
+                at = np.unique(np.concatenate([np.arange(c["start"], c["start"] + c["n"] - length + 1) for c in own]))
+                at = np.setdiff1d(at, np.array(firsts or [], dtype=np.int64), assume_unique=True)
+                docs.append(np.full(len(at), doc, dtype=np.int64))
+                ties.append(np.full(len(at), tie, dtype=np.int64))
+                places.append(at)
+            if docs:
+                yield _joined_spans(*(np.concatenate(x) for x in (docs, ties, places)), length)
+
+    rows = contexts.select("ctx", "doc_id", "tie", "start").mapInArrow(tidy(windows), "a long, b long, doc_id long, tie long, at int")
+    first = rows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "tie", "at")).alias("f"))
+    firsts = first.groupBy(F.col("f.doc_id").alias("doc_id"), F.col("f.tie").alias("tie")).agg(F.collect_list("f.at").alias("firsts"))
+    own = F.collect_list(F.struct("start", F.octet_length("ctx").alias("n")))
+    texts = contexts.groupBy("doc_id", "tie").agg(own.alias("own")).join(firsts, ["doc_id", "tie"], "left")
+    return texts.select("doc_id", "tie", "own", "firsts").mapInArrow(tidy(others), _SPANS)
 
 
 def _cut_out(rows: DataFrame) -> DataFrame:
@@ -342,7 +359,7 @@ def _cut_out(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(tidy(run), "doc_id long, tie long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, leaf: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, leaf: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, kept binary, n_bytes, n_removed, n_spans``: each text without the bytes that repeat."""
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
@@ -361,7 +378,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, leaf: int = 100, id_col: st
     if again:
         texts = texts.dropDuplicates(["doc_id", "tie"])
 
-    anchors = _anchors(texts, length)
+    anchors = materialize(_anchors(texts, length), "all-anchors")
     repeated = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     repeated = materialize(repeated, "anchors")
     release(docs.sparkSession)

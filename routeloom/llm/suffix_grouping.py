@@ -24,10 +24,10 @@ def suffix_arrays(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """
     n = len(symbols)
     sa, group, size = _grouped(symbols, starts)
-    before = np.arange(-1, n - 1, dtype=np.int64)
+    before = np.arange(-1, n - 1, dtype=np.int32)
     before[starts[:-1]] = -1
-    place = np.empty(n, dtype=np.int64)
-    place[sa] = np.arange(n)
+    place = np.empty(n, dtype=np.int32)
+    place[sa] = np.arange(n, dtype=np.int32)
     moved = np.zeros(n, dtype=bool)
     top = starts[1:].copy()
     live = np.flatnonzero(top > starts[:-1])
@@ -56,13 +56,13 @@ def _grouped(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     n = len(symbols)
     owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     key = owner * 512 + symbols
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key, kind="stable").astype(np.int32)
     ordered = key[sa]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if n else np.zeros(0, np.int64)
     lengths = np.diff(np.append(first, n))
-    group = np.empty(n, dtype=np.int64)
+    group = np.empty(n, dtype=np.int32)
     group[sa] = np.repeat(first, lengths)
-    size = np.zeros(n, dtype=np.int64)
+    size = np.zeros(n, dtype=np.int32)
     size[first] = lengths
     return sa, group, size
 
@@ -109,8 +109,8 @@ def _move_up(back: np.ndarray, sa: np.ndarray, place: np.ndarray, group: np.ndar
 
 def _emit(starts: np.ndarray, group: np.ndarray, before: np.ndarray, n: int) -> np.ndarray:
     """Final order: each string's last position comes first, and every place found lets others follow."""
-    out = np.full(n, -1, dtype=np.int64)
-    filled = np.zeros(n, dtype=np.int64)
+    out = np.full(n, -1, dtype=np.int32)
+    filled = np.zeros(n, dtype=np.int32)
     placed = np.zeros(n, dtype=bool)
     begin, end = starts[:-1], starts[1:]
     some = end > begin
