@@ -14,8 +14,13 @@ candidate in another component, compares their full sets inside the leaf, and gi
 Hence a group of g near copies gives about g pairs and not g * g, while no link that joins two components is passed
 over.
 
+Branching alone would lose pairs of a root of more than ``leaf`` documents, so the second pass also takes every pair of
+such a root whose ends are of two components by then: documents outside of the root's largest component meet all others
+in blocks of about ``leaf``. That costs the number of documents outside times the root's, and nothing for a root that
+the first pass has joined into one component.
+
 Recall: a pair of similarity s shares a root with probability 1 - (1 - s) ** trees, over 0.99999 for the defaults at
-0.85; deeper nodes are reached only by values that over ``leaf`` documents share.
+0.80 and 0.85, and every pair that shares a root is compared, or joined already.
 
 Nodes that still hold more than ``leaf`` documents after ``max_steps`` are compared exhaustively as well, in blocks.
 
@@ -130,9 +135,11 @@ def _children(members: DataFrame, per_step: int, branching: float) -> DataFrame:
     return members.select("node", "doc_id", "sig").mapInArrow(tidy(run), "node long, doc_id long")
 
 
-def chosen_path_leaves(reps: DataFrame, trees: int, leaf: int, per_step: int, branching: float, max_steps: int) -> DataFrame:
-    """``node, doc_id`` of all nodes that are to be compared exhaustively."""
-    leaves, nodes = None, materialize(_roots(reps, trees), "nodes")
+def chosen_path_leaves(
+    reps: DataFrame, trees: int, leaf: int, per_step: int, branching: float, max_steps: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """``node, doc_id`` of all nodes that are to be compared exhaustively, and of the roots that were branched, if any."""
+    leaves, branched, nodes = None, None, materialize(_roots(reps, trees), "nodes")
     for step in range(max_steps + 1):
         counts = materialize(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "node-sizes")
         limit = leaf if step < max_steps else 1 << 62
@@ -141,8 +148,34 @@ def chosen_path_leaves(reps: DataFrame, trees: int, leaf: int, per_step: int, br
         if not counts.filter(F.col("size") > limit).limit(1).count():
             break
         large = nodes.join(counts.filter(F.col("size") > limit).select("node"), "node")
+        branched = large if branched is None else branched
         nodes = materialize(_children(large.join(reps.select("doc_id", "sig"), "doc_id"), per_step, branching), "nodes")
-    return leaves
+    return leaves, branched
+
+
+def across_components(branched: DataFrame, first: DataFrame, reps: DataFrame, leaf: int) -> DataFrame:
+    """``node, doc_id, n_shingles, sig, component``: blocks in which all pairs of a branched root meet that are of two components.
+
+    The component that most documents of a root belong to is dealt into blocks by a hash of the id, and so is the rest;
+    every block of the rest meets every block, those of the main component do not meet each other.
+    """
+    rows = branched.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    rows = materialize(rows.select("node", "doc_id", F.coalesce("component", "doc_id").alias("component")), "branched")
+    sizes = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("node").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("total")).filter("total > main.n")
+    half = max(1, leaf // 2)
+    blocks = lambda n: F.ceil(n / half).cast("int")
+    main = main.select(
+        "node", F.col("main.component").alias("main"), blocks(F.col("main.n")).alias("mains"), blocks(F.col("total") - F.col("main.n")).alias("rests")
+    )
+    rows = rows.join(broadcast_if_small(materialize(main, "main-components")), "node").join(reps.drop("roots"), "doc_id")
+    is_main = F.col("component") == F.col("main")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.when(is_main, F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+    own = F.col("own")
+    met = lambda n, kind, pair: F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda j: F.xxhash64("node", F.lit(kind), *pair(j)))
+    with_rest = met("rests", 0, lambda j: (F.least(own, j), F.greatest(own, j)))
+    nodes = F.when(is_main, met("rests", 1, lambda j: (j, own))).otherwise(F.concat(with_rest, met("mains", 1, lambda j: (own, j))))
+    return rows.select(F.explode(nodes).alias("node"), "doc_id", "n_shingles", "sig", "component")
 
 
 def _near(ids: np.ndarray, size: np.ndarray, sig: np.ndarray, comp: np.ndarray | None, threshold: float, bar: float):
@@ -336,7 +369,7 @@ def similarity_classes(
     classes = materialize(classes, "classes")
     reps = known.join(classes.select(F.col("digest"), F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     reps = materialize(reps.dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sig", "roots"), "reps")
-    leaves = chosen_path_leaves(reps, trees, leaf, per_step, branching, max_steps)
+    leaves, branched = chosen_path_leaves(reps, trees, leaf, per_step, branching, max_steps)
     members = materialize(leaves.join(reps.drop("roots"), "doc_id"), "members")
     release(docs.sparkSession)
     threshold = percent / 100
@@ -345,6 +378,8 @@ def similarity_classes(
     release(docs.sparkSession)
     with_component = members.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     with_component = with_component.withColumn("component", F.coalesce("component", "doc_id"))
+    if branched is not None:
+        with_component = with_component.unionByName(across_components(branched, first, reps, leaf))
     open_members = materialize(undecided_members(with_component, threshold, slack), "undecided")
     sets = _sets_of(texts, open_members.select("doc_id").distinct())
     more = materialize(exact_links(open_members.join(sets, "doc_id"), percent), "links")

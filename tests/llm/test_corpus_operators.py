@@ -313,6 +313,25 @@ def test_near_dedup_of_a_large_group(spark):
         assert {x.doc_id: (x.n_shingles, x.component_id) for x in found.collect()} == _classes(texts, 85)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_dedup_of_threshold_pairs_in_branched_roots(spark, percent):
+    """Documents that share most of a text, each too far from all others but its partner, which is at the threshold."""
+    r = random.Random(12)
+    base, texts = words(r, 400), {}
+    own = {80: 43, 85: 31}[percent]  # words that only the document has, at the end
+    for i in range(0, 100, 2):
+        pair = words(r, 30)
+        for k in (i, i + 1):
+            texts[k] = " ".join(base[: 370 - own] + pair + [f"{k}x{j}" for j in range(own)])
+    sets = {k: shingles(t) for k, t in texts.items()}
+    for a, b in itertools.combinations(sets, 2):
+        assert (100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])) == (a // 2 == b // 2)
+    want = {k: (len(x), k - k % 2) for k, x in sets.items()}
+    frame = spark.createDataFrame([(i, t, "s", "x") for i, t in texts.items()], DOCS)
+    found = op10.similarity_classes(frame, percent, leaf=10, branching=1.0)  # one child a node: branching alone loses many pairs
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in found.collect()} == want
+
+
 def test_near_dedup_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (5, "ONE  two"), (6, "a b c d e f"), (6, "a b c d e f"), (7, "A b c d e f"), (None, "a b c d e f"), (8, "\u00a0x"), (9, "w " * 50_000)]
     frame = spark.createDataFrame([(i, t, "s", "x") for i, t in rows], DOCS)
