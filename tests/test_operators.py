@@ -258,6 +258,12 @@ def test_greedy_matches_are_one_to_one(spark):
     assert sorted((r.l, r.r) for r in found.collect()) == [(1, 1), (2, 2)]
 
 
+def test_best_matches_of_more_rounds_than_fifty(spark):
+    a = spark.createDataFrame([(i, 0) for i in range(52)], "l int, block int")
+    found = joins.best_matches(a, a.withColumnRenamed("l", "r"), "block", F.lit(1.0), 0.5)
+    assert sorted((r.l, r.r) for r in found.collect()) == [(i, i) for i in range(52)]
+
+
 def test_encoded_examples(spark):
     frame = spark.createDataFrame([(1, ["p1", "p2", "p3"], ["t"])], "id int, prompt array<string>, target array<string>")
     r = documents.encoded_examples(frame, 3).first()
