@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from routeloom.functions.expressions import char_runs, let
+
 _CJK = "\\u3400-\\u9fff"
 
 
@@ -48,18 +50,15 @@ def filled_text(*parts: Column) -> Column:
 
 def char_grams(text: Column, width: int = 3) -> Column:
     """Distinct grams of the letters, digits and CJK of a text; a shorter text is one gram, an empty one the empty gram."""
-    compact = F.regexp_replace(normalized(text), f"[^a-z0-9{_CJK}]+", "")
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(compact) - (width - 1))), lambda i: F.substring(compact, i, F.lit(width))))
+    return F.array_distinct(char_runs(F.regexp_replace(normalized(text), f"[^a-z0-9{_CJK}]+", ""), width))
 
 
 def word_features(text: Column) -> Column:
     """Distinct words of a-z and 0-9, and pairs of neighbours among the CJK characters as a whole."""
-    low = normalized(text)
-    words = F.regexp_extract_all(low, F.lit("([a-z0-9]+)"))
-    cjk = F.regexp_replace(low, f"[^{_CJK}]+", "")
-    n = F.length(cjk)
-    pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(cjk, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    return F.array_union(words, pairs)
+    none = F.array().cast("array<string>")
+    pairs = lambda cjk: F.when(F.length(cjk) >= 2, char_runs(cjk, 2)).otherwise(none)
+    low = lambda x: F.array_union(F.regexp_extract_all(x, F.lit("([a-z0-9]+)")), let(F.regexp_replace(x, f"[^{_CJK}]+", ""), pairs))
+    return let(normalized(text), low)
 
 
 def cjk_count(text: Column) -> Column:

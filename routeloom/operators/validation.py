@@ -134,10 +134,15 @@ def multi_target_pass(scores: Column, missing: Column, redundant: Column, unsafe
     return at("style", 3) & at("complexity", 4) & at("necessity", 4) & at("coherence", 4) & at("specificity", 3) & clean
 
 
-def single_target_pass(scores: Column, satisfied: Column) -> Column:
-    """A single-target review passes: style, specificity and coherence 3, relevance 4, requirement satisfied."""
+def single_target_pass(scores: Column, satisfied: Column, missing: Column, extra: Column, unsafe: Column) -> Column:
+    """A single-target review passes: style and specificity 3, relevance and coherence 4, and its flags are as they should be.
+
+    The requirement is satisfied, nothing is missing, no extra capability is needed, nothing is unsafe. A score or
+    ``satisfied`` that is null fails; the other flags count as false if null.
+    """
     at = lambda k, n: F.coalesce(scores[k] >= n, F.lit(False))
-    return at("style", 3) & at("relevance", 4) & at("specificity", 3) & at("coherence", 3) & F.coalesce(satisfied, F.lit(False))
+    amiss = F.coalesce(missing, F.lit(False)) | F.coalesce(extra, F.lit(False)) | F.coalesce(unsafe, F.lit(False))
+    return at("style", 3) & at("relevance", 4) & at("specificity", 3) & at("coherence", 4) & F.coalesce(satisfied, F.lit(False)) & ~amiss
 
 
 def normalized_list(values: Column, most: int, longest: int) -> Column:

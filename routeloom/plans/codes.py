@@ -42,8 +42,9 @@ def beam_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def free_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _vectors(spark, sf_dir)
     books = c.seeded_codebooks(vectors, _SIZES)
-    taken = c.residual_codes(vectors.filter("vec_id % 4 = 0"), books)
-    return c.free_codes(c.beam_paths(vectors.filter("vec_id % 4 = 1"), books, 4), taken).withColumn("error", F.round("error", 5))
+    known = F.coalesce(F.col("label") < 5, F.lit(False))
+    taken = c.residual_codes(vectors.filter(known), books)
+    return c.free_codes(c.beam_paths(vectors.filter(~known), books, 4), taken).withColumn("error", F.round("error", 5))
 
 
 @plan("fitted_codes")
@@ -158,7 +159,7 @@ def parsed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan("beam_decoding")
 def beam_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = table(spark, sf_dir, "part").select(F.array("p_brand", "p_type").alias("tokens"), "p_retailprice")
-    steps = d.synthetic_scores(scores, spark.range(20).select(F.col("id").alias("query_id")))
+    steps = d.synthetic_scores(scores, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id")))
     return d.beam_decode(steps, 2, 4).withColumn("score", F.round("score", 6))
 
 

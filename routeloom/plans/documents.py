@@ -25,11 +25,11 @@ def near_duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan(
     "training_rows",
-    """SELECT p_partkey AS skill_id, 'memorization' AS phase, p_name AS input_text, p_brand AS target_text FROM part WHERE p_size = 5
-    UNION ALL SELECT p_partkey, 'retrieval', 'order ' || l_orderkey::VARCHAR, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 5""",
+    """SELECT p_partkey AS skill_id, 'memorization' AS phase, p_name AS input_text, p_brand AS target_text FROM part
+    UNION ALL SELECT p_partkey, 'retrieval', 'order ' || l_orderkey::VARCHAR, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey""",
 )
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    skills = table(spark, sf_dir, "part").filter("p_size = 5").select(F.col("p_partkey").alias("skill_id"), F.col("p_name").alias("text"), F.col("p_brand").alias("path"))
+    skills = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("skill_id"), F.col("p_name").alias("text"), F.col("p_brand").alias("path"))
     queries = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("skill_id"), F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("query"))
     return d.memorization_and_retrieval(skills, queries)
 

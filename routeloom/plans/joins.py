@@ -105,7 +105,7 @@ def frequency_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
       + CASE WHEN a.domain = b.domain THEN 0.08::DOUBLE ELSE 0 END + 0.02::DOUBLE * len(list_intersect(a.roles, b.roles)), 9) AS score
       FROM p a JOIN p b ON a.id <> b.id AND (a.domain = b.domain OR a.roles = b.roles)),
     r AS (SELECT *, row_number() OVER (PARTITION BY skill_id ORDER BY score DESC, rank, confusable_id DESC) AS position FROM c)
-    SELECT skill_id, confusable_id, score, position::INTEGER AS position FROM r WHERE position <= 3 AND skill_id % 20 = 0""",
+    SELECT skill_id, confusable_id, score, position::INTEGER AS position FROM r WHERE position <= 3""",
 )
 def confusable_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(
@@ -115,7 +115,7 @@ def confusable_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array("p_type").alias("roles"),
         F.array_distinct(F.split(F.lower("p_name"), " ")).alias("features"),
     )
-    return j.confusable(part).filter("skill_id % 20 = 0")
+    return j.confusable(part)
 
 
 @plan(
@@ -139,14 +139,15 @@ def best_owner_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan(
     "unseen_owners",
-    """WITH n AS (SELECT o_custkey AS owner, o_orderpriority || (o_orderkey % 4000)::VARCHAR AS k, o_orderkey FROM orders WHERE o_orderkey % 5 = 0),
-    s AS (SELECT DISTINCT o_orderpriority || (o_orderkey % 4000)::VARCHAR AS k FROM orders WHERE o_orderkey % 97 = 1),
+    """WITH n AS (SELECT o_custkey AS owner, floor(o_totalprice)::BIGINT AS k, o_orderkey FROM orders WHERE o_orderdate >= '2001-06-01'),
+    s AS (SELECT DISTINCT floor(o_totalprice)::BIGINT AS k FROM orders WHERE o_orderdate < '2001-06-01'),
     lost AS (SELECT owner FROM n QUALIFY row_number() OVER (PARTITION BY k ORDER BY o_orderkey) > 1 UNION SELECT owner FROM n WHERE k IN (SELECT k FROM s))
     SELECT owner, k, o_orderkey FROM n WHERE owner NOT IN (SELECT owner FROM lost)""",
 )
 def unseen_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), F.concat("o_orderpriority", (F.col("o_orderkey") % 4000).cast("string")).alias("k"), "o_orderkey")
-    return j.without_seen(orders.filter("o_orderkey % 5 = 0"), orders.filter("o_orderkey % 97 = 1"), "owner", "k", [F.col("o_orderkey")])
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), F.floor("o_totalprice").cast("long").alias("k"), "o_orderkey", "o_orderdate")
+    new = F.col("o_orderdate") >= F.lit("2001-06-01")
+    return j.without_seen(orders.filter(new), orders.filter(~new), "owner", "k", [F.col("o_orderkey")]).drop("o_orderdate")
 
 
 @plan("under_prefix", "SELECT c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 2 AND n_nationkey % 2 = 0")

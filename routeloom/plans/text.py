@@ -49,7 +49,7 @@ def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, len(list_distinct(list_transform(range(1, greatest(1, length(s) - 2) + 1), lambda i: substr(s, i, 3))))::INTEGER AS grams FROM c""",
 )
 def gram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(t.char_grams(F.substring("text", 1, 1 << 30))).alias("grams"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(t.char_grams(F.col("text"))).alias("grams"))
 
 
 @plan("word_features", r"SELECT doc_id, len(list_distinct(regexp_extract_all(" + _NORM + r", '[a-z0-9]+')))::INTEGER AS features FROM documents")

@@ -85,19 +85,30 @@ def text_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.text_violations(docs, "doc_id", "text", 40, 8000, 0, 0.0, ["tion the", " les "])
 
 
+# Every score and every flag of a review takes its own bits of an order's key, so that each of them decides some row.
+_SCORES = ("style", "complexity", "necessity", "coherence", "specificity", "relevance")
+_FLAGS = ("missing", "redundant", "unsafe", "issues", "extra", "unsatisfied")
+
+
 @plan(
     "review_passes",
-    "SELECT doc_id, (quality + 3 >= 4 AND toxic = 0) AS multi_pass, (quality + 3 >= 4 AND toxic = 0) AS single_pass FROM labels",
+    f"""WITH k AS (SELECT o_orderkey, (o_orderkey::BIGINT * 2654435761) % 4294967296 AS h FROM orders),
+    r AS (SELECT o_orderkey, {", ".join(f"5 - (h // {4 ** (i + 1)} % 4) // 2 * (1 + h // {4 ** (i + 1)} % 2) AS {n}" for i, n in enumerate(_SCORES))},
+      {", ".join(f"(h // {3 * 5 ** (i + 1)} % 16 = 0) AS {n}" for i, n in enumerate(_FLAGS))} FROM k)
+    SELECT o_orderkey, (style >= 3 AND complexity >= 4 AND necessity >= 4 AND coherence >= 4 AND specificity >= 3 AND NOT missing AND NOT redundant AND NOT unsafe AND NOT issues) AS multi_pass,
+      (style >= 3 AND relevance >= 4 AND specificity >= 3 AND coherence >= 4 AND NOT missing AND NOT extra AND NOT unsafe AND NOT unsatisfied) AS single_pass FROM r""",
 )
 def review_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grade = (F.col("quality") + 3).cast("int")
-    names = ("style", "complexity", "necessity", "coherence", "specificity", "relevance")
-    scores = F.create_map(*(x for n in names for x in (F.lit(n), grade)))
-    none = F.array().cast("array<string>")
-    issues = F.when(F.col("toxic") == 1, F.array(F.lit("toxic"))).otherwise(none)
-    return table(spark, sf_dir, "labels").select(
-        "doc_id", v.multi_target_pass(scores, none, none, F.lit(False), issues).alias("multi_pass"), v.single_target_pass(scores, F.col("toxic") == 0).alias("single_pass")
-    )
+    """Scores of 5, 5, 4 or 3 less one where 3 suffices: see the twin; flags are set in a sixteenth of the rows."""
+    h = (F.col("o_orderkey").cast("long") * 2654435761) % 4294967296
+    part = lambda n, m: F.floor(h / n) % m
+    score = lambda i: (5 - F.floor(part(4 ** (i + 1), 4) / 2) * (1 + part(4 ** (i + 1), 2))).cast("int")
+    scores = F.create_map(*(x for i, n in enumerate(_SCORES) for x in (F.lit(n), score(i))))
+    flag = {n: part(3 * 5 ** (i + 1), 16) == 0 for i, n in enumerate(_FLAGS)}
+    some = lambda n: F.when(flag[n], F.array(F.lit(n))).otherwise(F.array().cast("array<string>"))
+    multi = v.multi_target_pass(scores, some("missing"), some("redundant"), flag["unsafe"], some("issues"))
+    single = v.single_target_pass(scores, ~flag["unsatisfied"], flag["missing"], flag["extra"], flag["unsafe"])
+    return table(spark, sf_dir, "orders").select("o_orderkey", multi.alias("multi_pass"), single.alias("single_pass"))
 
 
 @plan(

@@ -50,10 +50,15 @@ def count_lines(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).filter(F.trim("value") != "").count()
 
 
-def query_lines(spark: SparkSession, path: str, longest: int = 20_000) -> DataFrame:
-    """``query_id, query`` of the lines that aren't blank; ids are ``line-%06d`` of the line in the file."""
+def query_lines(spark: SparkSession, path: str, longest: int = 20_000) -> tuple[DataFrame, DataFrame]:
+    """``query_id, query`` of the lines that aren't blank, and rejects ``path, line_no, n_chars`` of longer lines.
+
+    Ids are ``line-%06d`` of the line in the file. A query is never cut: a caller that wants all or nothing, as the
+    upload form does, refuses the file when there are rejects.
+    """
     lines = numbered_lines(spark, path).withColumn("query", F.trim("line")).filter(F.col("query") != "")
-    return lines.select(F.format_string("line-%06d", "line_no").alias("query_id"), F.substring("query", 1, longest).alias("query"))
+    whole = lines.filter(F.length("query") <= longest).select(F.format_string("line-%06d", "line_no").alias("query_id"), "query")
+    return whole, lines.filter(F.length("query") > longest).select("path", "line_no", F.length("query").alias("n_chars"))
 
 
 def token_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

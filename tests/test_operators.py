@@ -1,6 +1,9 @@
 """Operators against literal expectations and invariants."""
 
+import hashlib
+import itertools
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,6 +162,63 @@ def test_orders_are_rotations_first(spark):
     assert len({tuple(r.skill_ids) for r in found}) == 6 and [r.id for r in found[:2]] == ["q", "q--ord-1"]
 
 
+@pytest.mark.parametrize(("targets", "variants"), [(5, 9), (5, 200), (6, 3), (7, 7), (1, 4)])
+def test_orders_of_any_number_of_targets(spark, targets, variants):
+    items = [chr(97 + i) for i in range(targets)]
+    frame = spark.createDataFrame([("q", items), ("none", [])], "id string, skill_ids array<string>")
+    found = [tuple(r.skill_ids) for r in splits.augmented_orders(frame, variants, 3).orderBy("target_order_variant").collect()]
+    turned = [tuple(items[i:] + items[:i]) for i in range(targets)]
+    rest = sorted(set(itertools.permutations(items)) - set(turned), key=lambda p: int.from_bytes(hashlib.sha256("\x1f".join(["3", "q", *p]).encode()).digest()[:8], "big"))
+    assert found == (turned + rest)[:variants]
+
+
+def test_single_target_pass_needs_every_score_and_flag(spark):
+    good = {"style": 3, "relevance": 4, "specificity": 3, "coherence": 4}
+    flags = {"satisfied": True, "missing": False, "extra": False, "unsafe": False}
+    cases = [(good, flags, True), ({**good, "style": None}, flags, False), (good, {**flags, "missing": None}, True), (good, {**flags, "satisfied": None}, False)]
+    cases += [({**good, k: v - 1}, flags, False) for k, v in good.items()] + [(good, {**flags, k: not v}, False) for k, v in flags.items()]
+    frame = spark.createDataFrame([(s, *f.values(), w) for s, f, w in cases], "s map<string,int>, a boolean, b boolean, c boolean, d boolean, want boolean")
+    got = frame.select(validation.single_target_pass(F.col("s"), *(F.col(c) for c in "abcd")).alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_best_matches_equal_the_greedy_order(spark):
+    left = [(i, i % 3, float(i * 37 % 19)) for i in range(70)] + [(100 + i, 9, 1.0) for i in range(60)]
+    right = [(i, i % 3, float(i * 53 % 23)) for i in range(60)] + [(100 + i, 9, 1.0) for i in range(60)]  # all of block 9 are tied
+    a, b = spark.createDataFrame(left, "l int, block int, x double"), spark.createDataFrame(right, "r int, block int, y double")
+    found, again = ({(r.l, r.r) for r in joins.best_matches(a, b, "block", -F.abs(F.col("x") - F.col("y")), -6.0, at_once=k).collect()} for k in (50_000, 700))
+    pairs = sorted((abs(x - y), i, j) for i, p, x in left for j, q, y in right if p == q and abs(x - y) <= 6)
+    used, wanted = set(), set()
+    for _, i, j in pairs:
+        if ("l", i) not in used and ("r", j) not in used:
+            used |= {("l", i), ("r", j)}
+            wanted.add((i, j))
+    assert found == again == wanted
+
+
+def test_confusable_equals_brute_force(spark):
+    profiles = [(i, i * 7 % 5, [None, "x", "y"][i % 3], [["p"], ["p", "q"], [], ["r", "q", "q"]][i % 4], [[], ["f", "g"], ["g"], ["h", "f", "f"], ["z"]][i * i % 5]) for i in range(60)]
+    frame = spark.createDataFrame(profiles, "skill_id int, rank int, domain string, roles array<string>, features array<string>")
+    found = {(r.skill_id, r.position): (r.confusable_id, r.score) for r in joins.confusable(frame).collect()}
+    wanted = {}
+    for i, _, d, roles, f in profiles:
+        near = []
+        for j, rank, e, others, g in profiles:
+            if i != j and ((d is not None and d == e) or set(roles) & set(others)):
+                jac = len(set(f) & set(g)) / len(set(f) | set(g)) if f and g else 0.0
+                near.append((-round(jac + 0.08 * (d is not None and d == e) + 0.02 * len(set(roles) & set(others)), 9), rank, -j))
+        wanted |= {(i, k): (-b, -s) for k, (s, _, b) in enumerate(sorted(near)[:3], 1)}
+    assert found == wanted
+
+
+def test_grams_of_a_long_text_are_linear(spark):
+    long = "".join(chr(97 + i * i % 26) for i in range(1_000_000))
+    frame = spark.createDataFrame([(long,)], "t string")
+    began = time.perf_counter()
+    assert frame.select(F.size(text.char_grams(F.col("t")))).first()[0] == len({long[i : i + 3] for i in range(len(long) - 2)})
+    assert time.perf_counter() - began < 20
+
+
 def test_assignment_is_balanced_and_stable(spark):
     costs = spark.createDataFrame([(s, c, float((s * 7 + c * 5) % 11)) for s in range(10) for c in range(3)], "sample int, code int, cost double")
     caps = codes.balanced_capacities(spark.createDataFrame([(1, 8), (0, 2)], "code int, n int"), 3, 10)
