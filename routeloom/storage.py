@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import broadcast
 
 _KEY = "spark.checkpoint.dir"
 _own: str | None = None
+#: Where each table that this process has written lies, while it is there.
+_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_run = uuid.uuid4().hex
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError(f"set {_KEY} to a folder that all executors share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="routeloom-")
+        atexit.register(shutil.rmtree, _own, ignore_errors=True)
     return f"file://{_own}"
 
 
@@ -38,12 +45,34 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     table is broadcast only when its measured size is below ``spark.sql.autoBroadcastJoinThreshold``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/routeloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/routeloom/{_run}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _places[found] = path
+    return found
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder through the file system that its path names, whichever that is."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once all that was derived from them has been written in turn."""
+    for t in tables:
+        path = _places.pop(t, None)
+        if path is not None:
+            _delete(t.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this process has written; for when its results have been consumed or stored."""
+    _places.clear()
+    _delete(spark, f"{shared_dir(spark)}/routeloom/{_run}")
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
