@@ -3,20 +3,24 @@
 Every byte is removed that a string of ``length`` bytes covers which also starts earlier: in a document of smaller id,
 or further left in the same one. Texts are UTF-8 bytes, and matches never cross documents.
 
-1. Texts that equal an earlier text are copies. All of a copy of ``length`` bytes or more repeats; it goes no further.
+1. Texts that equal an earlier text, by SHA-256, are copies. All of a copy of ``length`` bytes or more repeats; it goes
+   no further.
 2. Each remaining text is winnowed: of the hashes of its 32-byte strings the least in every window of ``length`` bytes
    is an anchor. Equal windows have equal anchors at equal places, so a window can repeat only if its anchor does.
-3. An anchor that occurs once is done with. For the others the context is hashed, all bytes of any window that the
-   anchor may stand for. Contexts that are equal as a whole are merged; all but the earliest repeat throughout.
-4. What is left are different contexts of one anchor, whose bytes are cut out now. Up to ``leaf`` of them are laid end to end and sorted by their
-   suffixes (see suffix_grouping), a slice of many anchors at once; windows that are neighbours in that order and
-   equal repeat, but for the earliest.
+3. An anchor that occurs once is done with. For the others the context is digested, all bytes of any window that the
+   anchor may stand for. Contexts of equal 128-bit BLAKE2b digest are merged; all but the earliest repeat throughout.
+4. What is left are different contexts of one anchor, whose bytes are cut out now. They are laid end to end and sorted
+   by their suffixes (see suffix_grouping), a slice of many anchors at once; windows that are neighbours in that order
+   and have equal bytes repeat, but for the earliest.
 5. An anchor with more than ``leaf`` different contexts, as at the edge of a passage that a third of all documents
-   share, is split: its windows are dealt out by a 128-bit hash of their bytes, and all but the earliest repeat.
+   share, is split by longer strings first: its contexts are winnowed again by strings of 56, 80 and at last ``length``
+   bytes, with steps 3 and 4 for what each of these anchors brings together. Contexts that differ part where they
+   differ, and those that don't are merged, so no anchor keeps many.
 6. The repeated windows of a document are joined with its text once and their union is cut out.
 
 Each step is a shuffle on an evenly spread hash or on the document, and is counted before it is shuffled where the
-rows of one key can be many. What a document adds is in proportion to its bytes.
+rows of one key can be many. What a document adds is in proportion to its bytes. Texts of more than a megabyte are
+winnowed in overlapping pieces, so their length is bounded by what a row can hold only.
 
 Defined cases: a null text is an empty text; texts shorter than ``length`` lose nothing; rows that repeat an id are
 ordered by a hash of their texts, equal rows count as one document and get the same result; rows with a null id come
@@ -27,6 +31,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
@@ -39,9 +44,10 @@ from routeloom.llm.op03_byte_bpe import slices
 from routeloom.llm.suffix_grouping import suffix_arrays
 from routeloom.llm.wordhash import mix, powers
 from routeloom.llm.workers import tidy
-from routeloom.storage import materialize, release
+from routeloom.storage import discard, materialize, release
 
-GRAM = 32
+GRAM, LONGER = 32, (56, 80)
+_PIECE = 1_000_000
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -55,10 +61,11 @@ def _hashes(data: np.ndarray, length: int, salt: int = 1) -> np.ndarray:
     return mix((sums[last] - sums[:-1]) * q[:n])
 
 
-def anchors_of(raws: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors_of(raws: list[bytes], length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text number, hash, and start and end of the context of every anchor of texts laid end to end.
 
-    A context is all bytes of the windows that have the anchor; these windows follow one another.
+    A context is all bytes of the windows that have the anchor; these windows follow one another. What a window's anchor
+    is depends on the window's bytes only. Places must fit 24 bits, see ``_winnowed``.
     """
     data = np.frombuffer(b"".join(raws), dtype=np.uint8)
     edges = np.cumsum([0, *map(len, raws)])
@@ -70,9 +77,9 @@ def anchors_of(raws: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray,
     if not len(windows):
         none = np.zeros(0, np.int64)
         return none, none.view(np.uint64), none, none
-    h = _hashes(data, GRAM)
+    h = _hashes(data, gram)
     least = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)  # ties: the leftmost
-    width, reach = 1, length - GRAM + 1
+    width, reach = 1, length - gram + 1
     while width * 2 <= reach:
         least = np.minimum(least, np.append(least[width:], np.full(min(width, len(least)), np.uint64(2**64 - 1))))
         width *= 2
@@ -86,29 +93,35 @@ def anchors_of(raws: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray,
     return text, h[at[first]], windows[first] - edges[text], windows[last] + length - edges[text]
 
 
+def _winnowed(raws: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``anchors_of``, a long text by pieces that share ``length - 1`` bytes, so that each window lies in one of them.
+
+    A context that crosses an edge comes as two, of the same anchor.
+    """
+    if sum(map(len, raws)) <= 4 * _PIECE:
+        return anchors_of(raws, length)
+    found = []
+    for i, raw in enumerate(raws):
+        for base in range(0, max(1, len(raw) - length + 1), _PIECE):
+            _, h, start, end = anchors_of([raw[base : base + _PIECE + length - 1]], length)
+            found.append((np.full(len(h), i), h, start + base, end + base))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _anchors(texts: DataFrame, length: int) -> DataFrame:
     fields = [("anchor", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]
     out = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chain.from_iterable(slices(b, 2000, 800_000) for b in batches):
-            for part in _bounded(batch):
-                text, h, start, end = anchors_of([(t or "").encode() for t in part.column("text").to_pylist()], length)
-                owner = [part.column(c).take(pa.array(text)) for c in ("doc_id", "tie")]
-                ends = [pa.array(x.astype(np.int32)) for x in (start, end)]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *owner, *ends], schema=out)
+            text, h, start, end = _winnowed([(t or "").encode() for t in batch.column("text").to_pylist()], length)
+            owner = [batch.column(c).take(pa.array(text)) for c in ("doc_id", "tie")]
+            ends = [pa.array(x.astype(np.int32)) for x in (start, end)]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *owner, *ends], schema=out)
 
     return texts.select("doc_id", "tie", "text").mapInArrow(tidy(run), "anchor long, doc_id long, tie long, start int, end int")
 
 
-def _bounded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Positions within a part must fit 24 bits; a single longer text is an error, not a wrong result."""
-    size = sum(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_pylist())
-    if size >= 1 << 24:
-        raise ValueError("a text of 16 MiB or more must be split before suffix deduplication")
-    yield batch
-
-
 def _packed(rows: DataFrame) -> DataFrame:
     """``doc_id, tie, text`` with the text compressed to binary, for the shuffles that it has to go through."""
     out = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("text", pa.binary())])
@@ -122,35 +135,35 @@ def _packed(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "tie", "text").mapInArrow(tidy(run), "doc_id long, tie long, text binary")
 
 
-def _context_keys(found: DataFrame, length: int) -> DataFrame:
-    """``anchor, ctx_key, doc_id, tie, start, end``: the context of each repeated anchor, with a hash of its bytes.
+def _digests(parts: list[bytes]) -> list[pa.Array]:
+    """Both halves of the 128-bit digest of each byte string."""
+    joined = b"".join([blake2b(p, digest_size=16).digest() for p in parts])
+    halves = np.frombuffer(joined, dtype=np.int64).reshape(-1, 2)
+    return [pa.array(halves[:, k]) for k in (0, 1)]
 
-    The hash comes from running sums over the bytes of a slice, all contexts at once; with the anchor's own hash it
-    makes 128 bits.
-    """
-    fields = [("anchor", pa.int64()), ("ctx_key", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]
-    out = pa.schema(fields)
+
+def _context_keys(found: DataFrame) -> DataFrame:
+    """``anchor, k1, k2, doc_id, tie, start, end``: the context of each repeated anchor, with a digest of its bytes."""
+    names = ("anchor", "k1", "k2", "doc_id", "tie")
+    out = pa.schema([*((c, pa.int64()) for c in names), ("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in chain.from_iterable(slices(b, 2000, 700_000) for b in batches):
-            raws = [unpack(t) for t in batch.column("text").to_pylist()]
-            data = np.frombuffer(b"".join(raws), dtype=np.uint8)
-            edges = np.cumsum([0, *map(len, raws)])
             lists = batch.column("places")
             places = lists.flatten()
-            row = np.repeat(np.arange(len(raws)), np.diff(lists.offsets.to_numpy()))
-            start, end = (places.field(c).to_numpy() + edges[row] for c in ("start", "end"))
-            p, q = powers(len(data) + 1)
-            sums = np.zeros(len(data) + 1, dtype=np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], dtype=np.uint64, out=sums[1:])
-            key = mix((sums[end] - sums[start]) * q[start] + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-            take = pa.array(row)
-            columns = [places.field("anchor"), pa.array(key.view(np.int64)), batch.column("doc_id").take(take), batch.column("tie").take(take)]
-            ends = [pa.array((x - edges[row]).astype(np.int32)) for x in (start, end)]
-            yield pa.RecordBatch.from_arrays(columns + ends, schema=out)
+            counts = np.diff(lists.offsets.to_numpy())
+            take = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+            start, end = places.field("start").to_pylist(), places.field("end").to_pylist()
+            parts, i = [], 0
+            for text, k in zip(batch.column("text").to_pylist(), counts.tolist(), strict=True):
+                raw = unpack(text)
+                parts += [raw[a:b] for a, b in zip(start[i : i + k], end[i : i + k], strict=True)]
+                i += k
+            owner = [batch.column(c).take(take) for c in ("doc_id", "tie")]
+            yield pa.RecordBatch.from_arrays([places.field("anchor"), *_digests(parts), *owner, places.field("start"), places.field("end")], schema=out)
 
-    return found.mapInArrow(tidy(run), "anchor long, ctx_key long, doc_id long, tie long, start int, end int")
+    return found.mapInArrow(tidy(run), "anchor long, k1 long, k2 long, doc_id long, tie long, start int, end int")
 
 
 def _context_bytes(found: DataFrame) -> DataFrame:
@@ -279,50 +292,36 @@ def _sorted_by_suffix(contexts: DataFrame, length: int, most_bytes: int = 3_000_
     return contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidy(run), _SPANS)
 
 
-def _split_by_window(contexts: DataFrame, length: int) -> DataFrame:
-    """Repeated spans of anchors with very many contexts, by a 128-bit hash of each window.
+def _refined(contexts: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Contexts winnowed again by longer strings: repeated spans, and ``anchor, doc_id, tie, start, n, ctx`` of what is left.
 
-    Only the earliest window of each hash is looked up again: of the windows of a text's contexts, those that are the
-    earliest of theirs stay, and all others repeat. So what is joined is a row for each text.
+    What is left are the earliest of equal contexts, of anchors that have n > 1 different ones.
     """
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("at", pa.int32())])
+    names = ("anchor", "k1", "k2", "doc_id", "tie")
+    out = pa.schema([*((c, pa.int64()) for c in names), ("start", pa.int32()), ("ctx", pa.binary())])
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ctx = batch.column("ctx").to_pylist()
-            data = np.frombuffer(b"".join(ctx), dtype=np.uint8)
-            sizes = np.array([len(c) for c in ctx], dtype=np.int64)
-            row = np.repeat(np.arange(len(ctx)), sizes)
-            offset = np.arange(len(data)) - (np.cumsum(sizes) - sizes)[row]
-            whole = np.flatnonzero(offset + length <= sizes[row])
-            r = row[whole]
-            columns = [
-                _hashes(data, length)[whole].view(np.int64),
-                _hashes(data, length, salt=257)[whole].view(np.int64),
-                batch.column("doc_id").to_numpy()[r],
-                batch.column("tie").to_numpy()[r],
-                (batch.column("start").to_numpy()[r] + offset[whole]).astype(np.int32),
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=out)
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, ties, places = [], [], []
-            for doc, tie, own, firsts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie", "own", "firsts")), strict=True):
-                at = np.unique(np.concatenate([np.arange(c["start"], c["start"] + c["n"] - length + 1) for c in own]))
-                at = np.setdiff1d(at, np.array(firsts or [], dtype=np.int64), assume_unique=True)
-                docs.append(np.full(len(at), doc, dtype=np.int64))
-                ties.append(np.full(len(at), tie, dtype=np.int64))
-                places.append(at)
-            if docs:
-                yield _joined_spans(*(np.concatenate(x) for x in (docs, ties, places)), length)
-
-    rows = contexts.select("ctx", "doc_id", "tie", "start").mapInArrow(tidy(windows), "a long, b long, doc_id long, tie long, at int")
-    first = rows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "tie", "at")).alias("f"))
-    firsts = first.groupBy(F.col("f.doc_id").alias("doc_id"), F.col("f.tie").alias("tie")).agg(F.collect_list("f.at").alias("firsts"))
-    own = F.collect_list(F.struct("start", F.octet_length("ctx").alias("n")))
-    texts = contexts.groupBy("doc_id", "tie").agg(own.alias("own")).join(firsts, ["doc_id", "tie"], "left")
-    return texts.select("doc_id", "tie", "own", "firsts").mapInArrow(tidy(others), _SPANS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 4000) for b in batches for i in range(0, b.num_rows, 4000)):
+            raws = batch.column("ctx").to_pylist()
+            row, h, start, end = anchors_of(raws, length, gram)
+            take = pa.array(row)
+            finer = mix(batch.column("anchor").to_numpy().view(np.uint64)[row] + mix(h + np.uint64(gram)))
+            parts = [raws[r][a:b] for r, a, b in zip(row.tolist(), start.tolist(), end.tolist(), strict=True)]
+            owner = [batch.column(c).take(take) for c in ("doc_id", "tie")]
+            at = pa.array((batch.column("start").to_numpy()[row] + start).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(finer.view(np.int64)), *_digests(parts), *owner, at, pa.array(parts, pa.binary())], schema=out)
+
+    rows = contexts.select("anchor", "doc_id", "tie", "start", "ctx")
+    rows = materialize(rows.mapInArrow(tidy(run), ", ".join(f"{c} long" for c in names) + ", start int, ctx binary"), "finer-contexts")
+    place, key = F.struct("doc_id", "tie", "start"), ["anchor", "k1", "k2"]
+    distinct = materialize(rows.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows")), "finer-distinct")
+    several = materialize(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "finer-several")
+    ends = rows.select(*key, "doc_id", "tie", "start", (F.col("start") + F.octet_length("ctx")).alias("end"))
+    again = ends.join(distinct.filter("rows > 1").select(*key, "first"), key).filter(place != F.col("first"))
+    spans = again.select("doc_id", "tie", "start", "end")
+    firsts = distinct.join(several, "anchor").select("anchor", "k1", "k2", "first.*", "n")
+    left = firsts.join(rows, [*key, "doc_id", "tie", "start"]).select("anchor", "doc_id", "tie", "start", "n", "ctx")
+    return spans, left.dropDuplicates(["anchor", "doc_id", "tie", "start"])
 
 
 def _cut_out(rows: DataFrame) -> DataFrame:
@@ -365,15 +364,16 @@ def suffix_dedup(docs: DataFrame, length: int = 100, leaf: int = 40, id_col: str
         raise ValueError(f"length must be at least {GRAM}")
     own = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(own.alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    digest = [F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(7), F.col("text"), F.length("text")).alias("d2")]
-    narrow = materialize(rows.select("doc_id", *digest, F.octet_length("text").alias("n")), "texts")
+    digest = F.unhex(F.sha2("text", 256)).alias("digest")
+    narrow = materialize(rows.select("doc_id", digest, F.octet_length("text").alias("n")), "texts")
     again = bool(narrow.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count())
     tie = lambda h: (h if again else F.lit(0).cast("long")).alias("tie")
-    rows = rows.withColumn("tie", tie(F.xxhash64("text")))
-    keyed = narrow.filter(F.col("n") >= length).select("doc_id", tie(F.col("d1")), "d1", "d2", "n")
-    first = keyed.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
-    copies = keyed.join(first, ["d1", "d2"]).filter(F.struct("doc_id", "tie") != F.col("first"))
+    rows = rows.withColumn("tie", tie(F.xxhash64(F.unhex(F.sha2("text", 256)))))
+    keyed = narrow.filter(F.col("n") >= length).select("doc_id", tie(F.xxhash64("digest")), "digest", "n")
+    first = keyed.groupBy("digest").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
+    copies = keyed.join(first, "digest").filter(F.struct("doc_id", "tie") != F.col("first"))
     copies = materialize(copies.select("doc_id", "tie", "n").distinct(), "copies")
+    discard(narrow)
     texts = rows.filter(F.octet_length("text") >= length).join(copies, ["doc_id", "tie"], "left_anti")
     if again:
         texts = texts.dropDuplicates(["doc_id", "tie"])
@@ -383,28 +383,39 @@ def suffix_dedup(docs: DataFrame, length: int = 100, leaf: int = 40, id_col: str
     repeated = materialize(repeated, "anchors")
     release(docs.sparkSession)
     places = anchors.join(repeated, "anchor").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("anchor", "start", "end")).alias("places"))
-    contexts = materialize(_context_keys(_packed(texts).join(places, ["doc_id", "tie"]), length), "contexts")
+    contexts = materialize(_context_keys(_packed(texts).join(places, ["doc_id", "tie"])), "contexts")
+    discard(anchors, repeated)
     release(docs.sparkSession)
 
-    key = ["anchor", "ctx_key"]
-    distinct = contexts.groupBy(*key).agg(F.min(F.struct("doc_id", "tie", "start")).alias("first"))
+    key, place = ["k1", "k2"], F.struct("doc_id", "tie", "start")
+    distinct = contexts.groupBy(*key).agg(F.min(place).alias("first"), F.first("anchor").alias("anchor"))  # equal contexts have equal anchors
     distinct = materialize(distinct, "distinct-contexts")
     release(docs.sparkSession)
     several = materialize(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "several")
-    marked = materialize(
-        contexts.join(distinct, key).select("*", (F.struct("doc_id", "tie", "start") == F.col("first")).alias("is_first")).drop("first", "ctx_key"), "marked"
-    )
+    marked = contexts.drop("anchor").join(distinct, key).select("*", (place == F.col("first")).alias("is_first")).drop("first", *key)
+    marked = materialize(marked, "marked")
+    discard(contexts, distinct)
     release(docs.sparkSession)
     spans = marked.filter("not is_first").select("doc_id", "tie", "start", "end")
     firsts = marked.filter("is_first").drop("is_first").dropDuplicates(["anchor", "doc_id", "tie", "start", "end"]).join(several, "anchor")
     wanted = firsts.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("anchor", "start", "end", "n")).alias("places"))
     firsts = materialize(_context_bytes(_packed(texts).join(wanted, ["doc_id", "tie"])), "first-contexts")
     release(docs.sparkSession)
+    hot, used = firsts.filter(F.col("n") > leaf), [firsts, marked, several]
     spans = spans.union(_sorted_by_suffix(firsts.filter(F.col("n") <= leaf).drop("n"), length))
-    if several.filter(F.col("n") > leaf).limit(1).count():
-        spans = spans.union(_split_by_window(firsts.filter(F.col("n") > leaf), length))
+    for gram in [*(g for g in LONGER if g < length), length]:
+        if not hot.limit(1).count():
+            break
+        more, left = _refined(hot, length, gram)
+        left = materialize(left, "finer-firsts")
+        used.append(left)
+        # anchors of whole windows have one context each, but for collisions of their hashes
+        few = F.lit(True) if gram == length else F.col("n") <= leaf
+        spans = spans.union(more).union(_sorted_by_suffix(left.filter(few).drop("n"), length))
+        hot = left.filter(~few)
     spans = spans.union(copies.select("doc_id", "tie", F.lit(0).alias("start"), F.col("n").cast("int").alias("end")))
     per_text = materialize(spans.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    discard(*used)
     release(docs.sparkSession)
     found = _cut_out(_packed(rows).join(per_text, ["doc_id", "tie"], "left").select("doc_id", "tie", "text", "spans"))
     null_id = F.col("doc_id") == F.lit(-(1 << 63))

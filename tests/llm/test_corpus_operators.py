@@ -254,6 +254,40 @@ def test_suffix_dedup_of_planted_overlaps(spark, leaf):
     assert found == want
 
 
+def test_suffix_dedup_of_a_shared_edge_with_many_contexts(spark):
+    """One passage amid other words in every text: its edges have far more different contexts than a leaf."""
+    r = random.Random(19)
+    passage = " ".join(words(r, 50))
+    rows = []
+    for i in range(400):
+        before, after = " ".join(words(r, 9)), " ".join(words(r, 9))
+        rows.append((i, f"{before} {passage} {after}" if i % 5 else f"{before} {passage[: r.randrange(100, 300)]} {after}"))
+    frame = spark.createDataFrame([(i, t, "s", "x") for i, t in rows], DOCS).repartition(5)
+    want = _cut([(i, t.encode()) for i, t in rows])
+    found = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(x.kept).hexdigest()) for x in op8.suffix_dedup(frame).collect()}
+    assert found == want
+
+
+def test_suffix_dedup_of_texts_above_sixteen_megabytes(spark):
+    """A 20 MB text of random letters with planted copies: within it, across the edges of its pieces, and in other texts."""
+    g = np.random.default_rng(5)
+    big = bytearray(g.integers(97, 123, 20_000_000, dtype=np.uint8).tobytes())
+    small = bytearray(g.integers(97, 123, 3_000, dtype=np.uint8).tobytes())
+    for source, target, n in [(100, 999_950, 260), (999_900, 5_000_000, 400), (7_000_001, 19_999_700, 300)]:
+        big[target : target + n] = big[source : source + n]
+        for k in (-1, n):  # what surrounds a copy differs from what surrounds its source
+            if target + k < len(big):
+                big[target + k] = 48 + (source + k) % 10
+    small[1000:1500] = big[15_999_800:16_000_300]
+    small[999], small[1500] = 33, 33
+    frame = spark.createDataFrame([(1, big.decode(), "s", "x"), (2, small.decode(), "s", "x"), (3, "é" * 300_000, "s", "x")], DOCS)
+    found = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(x.kept).hexdigest()) for x in op8.suffix_dedup(frame).collect()}
+    kept = bytes(big[:999_950] + big[1_000_210:5_000_000] + big[5_000_400:19_999_700])
+    assert found[1] == (20_000_000, 960, 3, hashlib.sha256(kept).hexdigest())
+    assert found[2] == (3_000, 500, 1, hashlib.sha256(bytes(small[:1000] + small[1500:])).hexdigest())
+    assert found[3] == (600_000, 599_998, 1, hashlib.sha256("é".encode()).hexdigest())
+
+
 def test_suffix_dedup_odd_rows(spark):
     long = "q" * 150
     frame = spark.createDataFrame([(None, long, "s", "x"), (1, long, "s", "x"), (2, "short", "s", "x"), (2, "short", "s", "x"), (3, long + "a", "s", "x"), (3, long + "b", "s", "x")], DOCS)
