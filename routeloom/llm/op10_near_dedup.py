@@ -3,9 +3,16 @@
 A document is the set of its five-word shingles. Documents of the same set are one class, so exact copies cost one
 row each and nothing more. Class representatives are branched recursively: a node of the forest holds the documents
 that share the minwise tokens chosen along its path. The root of each of ``trees`` independent trees branches on one
-minwise coordinate; a node with more than ``leaf`` documents branches on into the children of ``per_step`` further
-coordinates, in expectation ``(1 / branching) ** per_step`` of them, drawn from the path itself; smaller nodes are
-compared exhaustively inside one task.
+minwise coordinate; nodes of up to ``leaf`` documents are compared exhaustively inside one task.
+
+A similar pair shares most of its roots, so a document with ``enough`` roots of up to ``leaf`` documents meets its near
+copies there, and leaves its larger roots. What remains in larger roots are documents most of whose roots are large:
+those of big groups of near copies, or of pages that are mostly template. Such a node first compares all its members
+with one pivot, the most central member; those that link to it, confirmed on full sets, are done with as members of the
+pivot's component. The rest, if still more than ``leaf``, branches on into the children of ``per_step`` further coordinates, in expectation
+``(1 / branching) ** per_step`` of them, drawn from the path itself; branching is the threshold unless given, so that
+a pair at the threshold is expected in one child. So a group of a million near copies is joined by its pivot and not
+multiplied by branching.
 
 In a leaf documents are compared by 256 packed minwise values; a pair is a candidate unless its estimate is more than
 ``slack`` standard deviations below the threshold. A first pass takes only the maximum spanning forest of a leaf's
@@ -14,25 +21,27 @@ candidate in another component, compares their full sets inside the leaf, and gi
 Hence a group of g near copies gives about g pairs and not g * g, while no link that joins two components is passed
 over.
 
-Branching alone would lose pairs of a root of more than ``leaf`` documents, so the second pass also takes every pair of
-such a root whose ends are of two components by then: documents outside of the root's largest component meet all others
-in blocks of about ``leaf``. That costs the number of documents outside times the root's, and nothing for a root that
-the first pass has joined into one component.
-
-Recall: a pair of similarity s shares a root with probability 1 - (1 - s) ** trees, over 0.99999 for the defaults at
-0.80 and 0.85, and every pair that shares a root is compared, or joined already.
+Branching alone would lose pairs of a large root, so the second pass also takes every pair of such a root whose ends
+are of two components by then, also what is left after ``max_steps``: documents outside of the root's largest component
+meet all others in blocks of about ``leaf``. That costs the number of documents outside times the root's, and nothing
+for a root that the pivots have joined into one component.
 
-Nodes that still hold more than ``leaf`` documents after ``max_steps`` are compared exhaustively as well, in blocks.
+Recall: a pair of similarity s is missed by the roots with probability (1 - s) ** trees, and by the small roots of a
+document that left its larger ones with at most (1 - s) ** enough: 1.3e-5 at 0.80 and 1.7e-6 at 0.85 for the defaults.
+The candidate test misses a pair at the threshold with 2.3e-4, less above it. Both are chances of one pair; a group
+stays in one piece if any path of links does.
 
 Defined cases: null, empty or blank texts have an empty set and are linked with nothing; a text of fewer than five
-words has one shingle, the whole sequence; repeated rows of one id are one document if their texts agree, and else
-linked only if the texts are; rows with a null id are kept and linked with nothing; an empty table gives an empty
-result; only the named columns are read, and in ``near_dedup`` all columns pass through.
+words has one shingle, the whole sequence; a text of any length is one set; repeated rows of one id are one document if
+their texts agree, and else each is linked by its own text, so that they may end in different components; rows with a
+null id are kept and linked with nothing; an empty table gives an empty result; only the named columns are read, and in
+``near_dedup`` all columns pass through.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from itertools import chain
 
@@ -45,7 +54,7 @@ from routeloom.llm.components import components
 from routeloom.llm.op03_byte_bpe import slices
 from routeloom.llm.wordhash import minwise, mix, shingle_sets
 from routeloom.llm.workers import tidy
-from routeloom.storage import broadcast_if_small, materialize, release
+from routeloom.storage import broadcast_if_small, discard, materialize, release
 
 COORDINATES = 256
 
@@ -66,7 +75,7 @@ def set_digests(docs: DataFrame, trees: int, id_col: str = "doc_id", text_col: s
             columns = [
                 batch.column("doc_id"),
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                pa.array([_digest(s) for s in sets], pa.binary()),
                 pa.array([v.astype(np.uint16).tobytes() for v in values], pa.binary()),
                 pa.array([v[:trees].tobytes() for v in values], pa.binary()),
             ]
@@ -75,18 +84,23 @@ def set_digests(docs: DataFrame, trees: int, id_col: str = "doc_id", text_col: s
     return _texts(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_shingles long, digest binary, sig binary, roots binary")
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def full_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, shingles``: the distinct shingle hashes of each text."""
-    out = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    """``doc_id, digest, shingles``: the distinct shingle hashes of each text, and the digest of the set."""
+    out = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chain.from_iterable(slices(b, 1000, 1_000_000) for b in batches):
             sets = shingle_sets(batch.column("text").to_pylist())
             offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, flat)], schema=out)
+            columns = [batch.column("doc_id"), pa.array([_digest(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, flat)]
+            yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    return _texts(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, shingles array<bigint>")
+    return _texts(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, digest binary, shingles array<bigint>")
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
@@ -135,22 +149,99 @@ def _children(members: DataFrame, per_step: int, branching: float) -> DataFrame:
     return members.select("node", "doc_id", "sig").mapInArrow(tidy(run), "node long, doc_id long")
 
 
+def _modal_signatures(members: DataFrame, sample: int) -> DataFrame:
+    """``node, modal``: the most frequent value of each coordinate among about ``sample`` members of each node."""
+    out = pa.schema([("node", pa.int64()), ("modal", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _nodes(batches):
+            sig = np.sort(_signatures(t.column("sig")), axis=0)
+            modal, most, many = sig[0].copy(), np.ones(COORDINATES, int), np.ones(COORDINATES, int)
+            for above, here in itertools.pairwise(sig):
+                many = np.where(above == here, many + 1, 1)
+                modal, most = np.where(many > most, here, modal), np.maximum(many, most)
+            yield pa.RecordBatch.from_arrays([t.column("node").combine_chunks()[:1], pa.array([modal.tobytes()], pa.binary())], schema=out)
+
+    drawn = members.filter(F.pmod(F.xxhash64("node", "doc_id"), F.col("size")) < sample).select("node", "sig")
+    return _dealt(drawn).mapInArrow(tidy(run), "node long, modal binary")
+
+
+def _pivots(members: DataFrame, reps: DataFrame, sample: int) -> DataFrame:
+    """``node, pivot, pivot_n, pivot_sig``: the member of each node that agrees most with the node's modal signature."""
+    out = pa.schema([("node", pa.int64()), ("agreeing", pa.int64()), ("doc_id", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
+            equal = (_signatures(batch.column("sig")) == _signatures(batch.column("modal"))).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(equal.astype(np.int64)), batch.column("doc_id")], schema=out)
+
+    modal = broadcast_if_small(materialize(_modal_signatures(members, sample), "modal"), 20_000)
+    agreeing = members.join(modal, "node").select("node", "doc_id", "sig", "modal").mapInArrow(tidy(run), "node long, agreeing long, doc_id long")
+    best = agreeing.groupBy("node").agg(F.max(F.struct("agreeing", (-F.col("doc_id")).alias("least"))).alias("p"))
+    best = best.select("node", (-F.col("p.least")).alias("pivot"))
+    own = reps.select(F.col("doc_id").alias("pivot"), F.col("n_shingles").alias("pivot_n"), F.col("sig").alias("pivot_sig"))
+    return best.join(own, "pivot").select("node", "pivot", "pivot_n", "pivot_sig")
+
+
+def pivot_pairs(members: DataFrame, reps: DataFrame, threshold: float, slack: float, sample: int = 64) -> DataFrame:
+    """Distinct ``a, b``: a the pivot of a node, b a member that may be similar to it; of ``node, size, doc_id, n_shingles, sig``.
+
+    The pivot is the most central member: in a group of copies that were edited independently it is the one with the
+    fewest edits, which more of the others link to than to any other.
+    """
+    bar = _bar(threshold, slack)
+    pivots = materialize(_pivots(members, reps, sample), "pivots")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
+            size, pivot_size = batch.column("n_shingles").to_numpy(), batch.column("pivot_n").to_numpy()
+            fits = np.minimum(size, pivot_size) >= threshold * np.maximum(size, pivot_size) - 1e-9
+            equal = (_signatures(batch.column("sig")) == _signatures(batch.column("pivot_sig"))).sum(axis=1)
+            other = batch.column("pivot").to_numpy() != batch.column("doc_id").to_numpy()
+            rows = pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("doc_id")], schema=_PAIR)
+            yield rows.filter(pa.array(fits & other & (equal >= bar)))
+
+    both = members.join(broadcast_if_small(pivots, 20_000), "node").select("doc_id", "n_shingles", "sig", "pivot", "pivot_n", "pivot_sig")
+    return both.mapInArrow(tidy(run), "a long, b long").distinct()
+
+
 def chosen_path_leaves(
-    reps: DataFrame, trees: int, leaf: int, per_step: int, branching: float, max_steps: int
-) -> tuple[DataFrame, DataFrame | None]:
-    """``node, doc_id`` of all nodes that are to be compared exhaustively, and of the roots that were branched, if any."""
-    leaves, branched, nodes = None, None, materialize(_roots(reps, trees), "nodes")
+    reps: DataFrame, texts: DataFrame, percent: int, trees: int, enough: int, leaf: int, per_step: int, branching: float, slack: float, max_steps: int
+) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """``node, doc_id`` of all nodes that are to be compared exhaustively; of the roots that were branched; and the links to pivots."""
+    nodes = materialize(_roots(reps, trees), "nodes")
+    sizes = lambda rows: materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "node-sizes")
+    counts = sizes(nodes)
+    leaves = nodes.join(counts.filter(F.col("size") <= leaf).select("node"), "node")
+    if not counts.filter(F.col("size") > leaf).limit(1).count():
+        return leaves, None, None
+    large = nodes.join(counts.filter(F.col("size") > leaf).select("node"), "node")
+    # a document with enough small roots meets its near copies there
+    bound = large.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > trees - enough).select("doc_id")
+    nodes = materialize(large.join(bound, "doc_id").select("node", "doc_id"), "nodes")
+    branched, links = None, None
     for step in range(max_steps + 1):
-        counts = materialize(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "node-sizes")
-        limit = leaf if step < max_steps else 1 << 62
-        small = nodes.join(counts.filter(F.col("size") <= limit).select("node"), "node")
-        leaves = small if leaves is None else leaves.union(small)
-        if not counts.filter(F.col("size") > limit).limit(1).count():
+        counts = sizes(nodes)
+        leaves = leaves.union(nodes.join(counts.filter(F.col("size") <= leaf).select("node"), "node"))
+        if not counts.filter(F.col("size") > leaf).limit(1).count():
             break
-        large = nodes.join(counts.filter(F.col("size") > limit).select("node"), "node")
-        branched = large if branched is None else branched
-        nodes = materialize(_children(large.join(reps.select("doc_id", "sig"), "doc_id"), per_step, branching), "nodes")
-    return leaves, branched
+        large = nodes.join(counts.filter(F.col("size") > leaf), "node")
+        if branched is None:
+            large = materialize(large, "branched-roots")
+            branched = large.select("node", "doc_id")
+        if step == max_steps:
+            break  # what is left meets in the blocks of its root
+        members = materialize(large.join(reps.drop("roots"), "doc_id"), "large-nodes")
+        found = materialize(confirmed(materialize(pivot_pairs(members, reps, percent / 100, slack), "pivot-pairs"), texts, percent, hubs=True), "pivot-links")
+        links = found if links is None else links.union(found)
+        joined = found.select(F.col("b").alias("doc_id")).distinct()
+        rest = materialize(members.join(broadcast_if_small(materialize(joined, "joined")), "doc_id", "left_anti"), "rest")
+        discard(members)
+        counts = sizes(rest)
+        leaves = leaves.union(rest.join(counts.filter(F.col("size") <= leaf).select("node"), "node").select("node", "doc_id"))
+        open_nodes = rest.join(counts.filter(F.col("size") > leaf).select("node"), "node")
+        nodes = materialize(_children(open_nodes, per_step, branching), "nodes")
+    return leaves, branched, links
 
 
 def across_components(branched: DataFrame, first: DataFrame, reps: DataFrame, leaf: int) -> DataFrame:
@@ -333,47 +424,83 @@ def exact_links(members: DataFrame, percent: int) -> DataFrame:
     return _dealt(members).mapInArrow(tidy(run), "a long, b long").distinct()
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Full sets of the documents with the given distinct ids; their texts are shuffled only if the ids are very many."""
+def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Full sets of the nodes with the given distinct ids; their texts are shuffled only if the ids are very many.
+
+    ``texts`` has ``doc_id, text``, and where rows that repeat an id differ also ``node, set_digest``: which node a row
+    stands for if its set has that digest.
+    """
     ids = broadcast_if_small(materialize(ids, "ids"))
-    return full_sets(docs.join(ids, "doc_id", "left_semi")).dropDuplicates(["doc_id"])
+    if "node" not in texts.columns:
+        return full_sets(texts.join(ids, "doc_id", "left_semi")).select("doc_id", "shingles").dropDuplicates(["doc_id"])
+    wanted = texts.select("doc_id", "node", "set_digest").join(ids.select(F.col("doc_id").alias("node")), "node").distinct()
+    sets = full_sets(texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"))
+    named = sets.join(wanted, (sets["doc_id"] == wanted["doc_id"]) & (sets["digest"] == wanted["set_digest"]))
+    return named.select(F.col("node").alias("doc_id"), "shingles").dropDuplicates(["doc_id"])
+
 
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, hubs: bool = False) -> DataFrame:
+    """The pairs ``a, b`` with 100 * intersection >= percent * union of their full sets.
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` with 100 * intersection >= percent * union of their full sets."""
+    With ``hubs`` few documents are the first of many pairs; their sets are a table of its own, whose size decides
+    whether they are broadcast.
+    """
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialize(_sets_of(docs, ids), "sets")
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+    sets = materialize(_sets_of(texts, ids), "sets")
+    of_a = sets
+    if hubs:
+        of_a = materialize(sets.join(pairs.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi"), "hub-sets")
+    left = pairs.join(of_a.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _classes(known: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``digest, rep, node`` of each set: its least id and its node number; and the texts that nodes are read from.
+
+    A node has the number of its representative, unless rows that repeat that id have different sets: then the set of
+    the least digest has it, and each other one a hash of digest and id.
+    """
+    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    several = known.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y")
+    if not several.limit(1).count():
+        return materialize(classes.withColumn("node", F.col("rep")), "classes"), texts
+    first = classes.groupBy("rep").agg(F.min("digest").alias("least"))
+    node = F.when(F.col("digest") == F.col("least"), F.col("rep")).otherwise(F.xxhash64("digest", "rep"))
+    classes = materialize(classes.join(first, "rep").select("digest", "rep", node.alias("node")), "classes")
+    own = classes.select(F.col("rep").alias("doc_id"), "node", F.col("digest").alias("set_digest"))
+    return classes, texts.join(own, "doc_id")
+
+
 def similarity_classes(
     docs: DataFrame,
     percent: int = 85,
     id_col: str = "doc_id",
     text_col: str = "text",
     trees: int = 10,
+    enough: int = 7,
     leaf: int = 1000,
     per_step: int = 4,
-    branching: float = 0.85,
+    branching: float | None = None,
     slack: float = 3.5,
-    max_steps: int = 24,
+    max_steps: int = 12,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id``: one row for each row of ``docs``; the least id that its links reach."""
     texts = _texts(docs, id_col, text_col)
     digests = materialize(set_digests(texts, trees), "digests")
     known = digests.filter("n_shingles > 0 and doc_id is not null")
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = materialize(classes, "classes")
-    reps = known.join(classes.select(F.col("digest"), F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    reps = materialize(reps.dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sig", "roots"), "reps")
-    leaves, branched = chosen_path_leaves(reps, trees, leaf, per_step, branching, max_steps)
+    classes, texts = _classes(known, texts)
+    reps = known.join(classes.select("digest", F.col("rep").alias("doc_id"), "node"), ["digest", "doc_id"]).dropDuplicates(["node"])
+    reps = materialize(reps.select(F.col("node").alias("doc_id"), "n_shingles", "sig", "roots"), "reps")
+    threshold = percent / 100
+    leaves, branched, to_pivots = chosen_path_leaves(
+        reps, texts, percent, trees, min(enough, trees), leaf, per_step, branching or threshold, slack, max_steps
+    )
     members = materialize(leaves.join(reps.drop("roots"), "doc_id"), "members")
     release(docs.sparkSession)
-    threshold = percent / 100
-    links = materialize(confirmed(materialize(forest_pairs(members, threshold, slack), "pairs"), texts, percent), "links")
+    links = confirmed(materialize(forest_pairs(members, threshold, slack), "pairs"), texts, percent)
+    links = materialize(links if to_pivots is None else links.union(to_pivots), "links")
     first = materialize(components(links), "components")
     release(docs.sparkSession)
     with_component = members.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -381,16 +508,18 @@ def similarity_classes(
     if branched is not None:
         with_component = with_component.unionByName(across_components(branched, first, reps, leaf))
     open_members = materialize(undecided_members(with_component, threshold, slack), "undecided")
+    discard(members)
     sets = _sets_of(texts, open_members.select("doc_id").distinct())
     more = materialize(exact_links(open_members.join(sets, "doc_id"), percent), "links")
     last = first
     if more.limit(1).count():
         stars = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
         last = materialize(components(stars.union(more)), "components")
-    by_class = classes.join(last, classes["rep"] == last["node"], "left").select(
-        "digest", F.coalesce("component", "rep").alias("component_id")
-    )
-    found = digests.drop("sig", "roots").join(by_class, "digest", "left")
+    by_class = classes.join(last, "node", "left").select("digest", "rep", F.coalesce("component", "node").alias("component_id"))
+    if "node" in texts.columns:  # the least node of a component need not have its least id
+        least = by_class.groupBy(F.col("component_id").alias("component")).agg(F.min("rep").alias("least"))
+        by_class = by_class.join(least, F.col("component_id") == F.col("component")).select("digest", F.col("least").alias("component_id"))
+    found = digests.drop("sig", "roots").join(by_class.select("digest", "component_id"), "digest", "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id"))
     return found.select("doc_id", "n_shingles", F.coalesce(own, "doc_id").alias("component_id"))
 
@@ -398,8 +527,9 @@ def similarity_classes(
 def near_dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one of the least id; all columns pass through.
 
-    Rows whose text has no words, and rows with a null id, stay. Of rows that repeat an id all stay or none.
+    Rows whose text has no words, and rows with a null id, stay. Of rows that repeat an id all stay, or
+    none if each is a copy of a lesser id.
     """
     found = similarity_classes(docs, percent, id_col, text_col, **options)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = found.groupBy(F.col("doc_id").alias("__gone")).agg(F.bool_and(F.col("component_id") != F.col("doc_id")).alias("all")).filter("all").select("__gone")
     return docs.join(broadcast_if_small(materialize(gone, "gone")), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")

@@ -343,7 +343,7 @@ def test_near_dedup_of_a_large_group(spark):
         texts[i] = " ".join(words(r, 60))
     frame = spark.createDataFrame([(i, t, "s", "x") for i, t in texts.items()], DOCS)
     for leaf in (1000, 40):  # compared at the roots, and branched
-        found = op10.similarity_classes(frame, 85, leaf=leaf, trees=14)
+        found = op10.similarity_classes(frame, 85, leaf=leaf)
         assert {x.doc_id: (x.n_shingles, x.component_id) for x in found.collect()} == _classes(texts, 85)
 
 
@@ -366,6 +366,35 @@ def test_near_dedup_of_threshold_pairs_in_branched_roots(spark, percent):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in found.collect()} == want
 
 
+def test_near_dedup_of_repeated_ids_with_different_texts(spark):
+    r = random.Random(13)
+    a, b, c = words(r, 120), words(r, 130), words(r, 90)
+    changed = lambda w, k: " ".join(["changed" if i == k else x for i, x in enumerate(w)])
+    rows = [(3, " ".join(a)), (3, " ".join(b)), (5, changed(b, 2)), (2, changed(a, 60)), (7, " ".join(b)), (9, " ".join(c)), (9, changed(c, 1)), (9, "else where")]
+    frame = spark.createDataFrame([(i, t, "s", "x") for i, t in rows], DOCS)
+    found = op10.similarity_classes(frame)
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in found.collect()) == [
+        (2, 116, 2), (3, 116, 2), (3, 126, 3), (5, 126, 3), (7, 126, 3), (9, 1, 9), (9, 86, 9), (9, 86, 9),
+    ]
+    assert sorted(x.doc_id for x in op10.near_dedup(frame).collect()) == [2, 3, 3, 9, 9, 9]
+
+
+def test_near_dedup_joins_a_large_group_by_its_pivot(spark, monkeypatch):
+    """Branching sees few rows of a group of near copies, however large it is beside a leaf."""
+    r = random.Random(14)
+    base, rows = words(r, 100), []
+    for i in range(3000):
+        w = list(base)
+        for k in r.sample(range(100), r.randint(0, 1)):
+            w[k] = f"x{r.randrange(9999)}"
+        rows.append((i, " ".join(w), "s", "x"))
+    seen, children = [], op10._children
+    monkeypatch.setattr(op10, "_children", lambda members, *a: seen.append(members.count()) or children(members, *a))
+    found = op10.similarity_classes(spark.createDataFrame(rows, DOCS), 85, leaf=100)
+    assert {x.component_id for x in found.collect()} == {0}
+    assert sum(seen) <= 3000
+
+
 def test_near_dedup_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (5, "ONE  two"), (6, "a b c d e f"), (6, "a b c d e f"), (7, "A b c d e f"), (None, "a b c d e f"), (8, "\u00a0x"), (9, "w " * 50_000)]
     frame = spark.createDataFrame([(i, t, "s", "x") for i, t in rows], DOCS)
