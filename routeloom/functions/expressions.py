@@ -28,3 +28,19 @@ def char_runs(text: Column, width: int) -> Column:
         return F.slice(joined, 1, F.greatest(F.lit(1), F.size(chars) - (width - 1)))
 
     return let(F.split(text, ""), runs)
+
+
+def ranked_in(cuts: Column, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """``body`` of a function that gives how many entries of the sorted array ``cuts`` are at most a value.
+
+    A binary search whose steps follow the array's size. They are made once for each row, however many values are looked
+    up; values should be plain columns or variables, as they are read at each step. Null ``cuts`` count as empty.
+    """
+    none = F.array().cast("array<bigint>")
+    bits = F.when(F.size(cuts) > 0, F.transform(F.sequence(F.floor(F.log2(F.size(cuts))).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.shiftleft(F.lit(1), k)))
+
+    def search(steps: Column) -> Callable[[Column], Column]:
+        further = lambda x: lambda p, w: F.when((p + w <= F.size(cuts)) & (F.get(cuts, p + w - 1) <= x), p + w).otherwise(p)
+        return lambda x: F.aggregate(steps, F.lit(0), further(x))
+
+    return let(F.coalesce(bits, none.cast("array<int>")), lambda steps: body(search(steps)))

@@ -419,3 +419,16 @@ def test_strategies_keep_codes_and_roll_back(spark, tmp_path):
     assert sorted(r["count"] for r in b.members.groupBy("indices").count().collect()) == [4, 4, 4]
     with pytest.raises(ValueError, match="unknown"):
         strategies.create("other")
+
+
+def test_ranked_in_is_a_binary_search(spark):
+    import bisect
+    import random
+
+    from routeloom.functions.expressions import ranked_in
+
+    r = random.Random(1)
+    lists = [(sorted(r.randrange(-50, 50) for _ in range(n)),) for n in (0, 1, 2, 3, 4, 5, 8, 31, 32, 33, 100)] + [(None,)]
+    values = list(range(-60, 60, 3))
+    found = spark.createDataFrame(lists, "a array<bigint>").select("a", ranked_in(F.col("a"), lambda f: F.transform(F.lit(values), lambda v: f(v.cast("long")))).alias("p"))
+    assert all(x.p == [bisect.bisect_right(x.a or [], v) for v in values] for x in found.collect())
