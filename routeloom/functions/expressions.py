@@ -37,7 +37,7 @@ def ranked_in(cuts: Column, body: Callable[[Callable[[Column], Column]], Column]
     up; values should be plain columns or variables, as they are read at each step. Null ``cuts`` count as empty.
     """
     none = F.array().cast("array<bigint>")
-    bits = F.when(F.size(cuts) > 0, F.transform(F.sequence(F.floor(F.log2(F.size(cuts))).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.shiftleft(F.lit(1), k)))
+    bits = F.when(F.size(cuts) > 0, F.transform(F.sequence(F.floor(F.log2(F.size(cuts))).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int")))
 
     def search(steps: Column) -> Callable[[Column], Column]:
         further = lambda x: lambda p, w: F.when((p + w <= F.size(cuts)) & (F.get(cuts, p + w - 1) <= x), p + w).otherwise(p)
