@@ -9,22 +9,25 @@ have ended. The low four bits of each bin are packed into sixteen longs, printed
 Likeness of two fingerprints is the share of equal bins, corrected for the sixteenth of bins that agree by chance.
 Agreement is counted on the packed longs: xor, fold each digit to its lowest bit, and count bits.
 
-The next document in the order of ids is found without a global sort: ids are cut into ranges of about 256 ids, each
-range is ordered by itself, and the first row of a range is dealt to the range before it as well. The text is
-shuffled once.
+The next document in the order of ids is found without a global sort: ids are cut into ranges of about 4,096 rows each
+at their approximate quantiles, whatever their values, each range is ordered by itself, and the first row of a range is
+dealt to the range before it as well. There are at most a million ranges, cut in two levels of at most a thousand, so
+the cuts and the first ids that are broadcast have a bound, and the text is shuffled once at any size.
 
-Defined cases: a null or empty text, or one without words, has an empty fingerprint, likeness 1 to another such
+Defined cases: texts of any length are one row's expression, in proportion to their words; a null or empty text, or one without words, has an empty fingerprint, likeness 1 to another such
 text and 0 to any other; equal texts have equal fingerprints; a null id sorts first; rows that repeat an id are
-ordered by text and are each other's neighbours; a single row is its own next document; an empty table gives an empty
+ordered by text and are each other's neighbours, in one range however many; a single row is its own next document; an empty table gives an empty
 result; only the named columns are read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from routeloom.llm.expressions import let
+from routeloom.functions.expressions import let, ranked_in
 from routeloom.storage import materialize
 
 BINS, BITS, PROBES = 256, 4, 4
@@ -131,18 +134,49 @@ def _with_following(ranges: DataFrame) -> DataFrame:
     return groups.withColumn("prior", inner).join(ends, "grp").select("bucket", "head", F.coalesce("prior", "before", "end").alias("previous"))
 
 
-def with_next(rows: DataFrame, columns: list[str], per_range: int = 256) -> DataFrame:
+def _quantiles(column: str, parts: int) -> Column:
+    """The ``parts - 1`` values that cut a column into parts of about equal numbers of rows."""
+    return F.percentile_approx(column, [i / parts for i in range(1, parts)], F.lit(20_000))
+
+
+def _ranges(ids: DataFrame, per_range: int, most: int = 1000) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds the number of its id's range to each row, in the order of ids; null ids have -1.
+
+    Ranges are cut at quantiles: up to ``most`` of them by one list, more by a list for each of ``most`` parts.
+    """
+    ranges = max(1, -(-ids.filter("doc_id is not null").count() // per_range))
+    outer, inner = min(most, ranges), min(most, -(-ranges // most))
+    first = ids.agg(_quantiles("doc_id", outer)).first()[0] if outer > 1 else []
+    within = lambda cuts, x: ranked_in(cuts, lambda rank: rank(F.col(x)))
+    part = within(F.lit(first or []).cast("array<bigint>"), "doc_id").alias("part")
+    if inner > 1:
+        cuts = ids.select("doc_id", part).groupBy("part").agg(_quantiles("doc_id", inner).alias("cuts"))
+        cuts = materialize(cuts, "cuts")  # at most a thousand rows of a thousand numbers
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("part", part)
+        if inner == 1:
+            place = F.col("part").cast("long")
+        else:
+            rows = rows.join(F.broadcast(cuts), "part", "left")
+            place = F.col("part") * F.lit(1 << 20) + within(F.col("cuts"), "doc_id")
+        number = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(place).cast("long")
+        return rows.withColumn("bucket", number).drop("part", "cuts")
+
+    return numbered
+
+
+def with_next(rows: DataFrame, columns: list[str], per_range: int = 4096) -> DataFrame:
     """``rows`` (with ``doc_id`` and ``text``) and ``next``: a struct of ``columns`` of the following row."""
-    bounds = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    low, high, n = bounds[0] or 0, bounds[1] or 0, max(bounds[2], 1)
-    width = max(1, (high - low + 1) * per_range // n)
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), F.lit(-1).cast("long"))
-    ids = rows.select("doc_id", bucket.alias("bucket"))
-    heads = ids.groupBy("bucket").agg(F.min("doc_id").alias("head"))
+    ids = rows.select("doc_id")
+    numbered = _ranges(ids, per_range)
+    heads = numbered(ids).groupBy("bucket").agg(F.min("doc_id").alias("head"))
     heads = materialize(_with_following(heads).select(F.col("head").alias("__head"), F.col("previous").alias("__previous")), "heads")
-    dealt = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("__head")), "left").withColumn("__bucket", bucket)
-    places = F.array_compact(F.array(F.struct(F.lit(0).alias("guest"), F.col("__bucket").alias("bucket")), F.when(F.col("__previous").isNotNull(), F.struct(F.lit(1).alias("guest"), F.col("__previous").alias("bucket")))))
-    dealt = dealt.withColumn("__at", F.explode(places)).select(*rows.columns, "__at.guest", "__at.bucket")
+    # one row for each range, a million at most
+    dealt = numbered(rows).join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("__head")), "left")
+    own = F.struct(F.lit(0).alias("guest"), F.col("bucket"))
+    guest = F.when(F.col("__previous").isNotNull(), F.struct(F.lit(1).alias("guest"), F.col("__previous").alias("bucket")))
+    dealt = dealt.withColumn("__at", F.explode(F.array_compact(F.array(own, guest)))).select(*rows.columns, "__at.guest", "__at.bucket")
     order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text")
     return dealt.withColumn("next", F.lead(F.struct(*columns)).over(order)).filter("guest = 0").drop("guest", "bucket")
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routeloom.llm.expressions import let
+from routeloom.functions.expressions import let
 from routeloom.storage import broadcast_if_small, materialize
 
 #: Spaced seeds: fixed values, lossless for two substitutions in thirteen words.

@@ -92,6 +92,52 @@ def test_next_crosses_ranges(spark):
     assert found == {a: str(b) for a, b in zip(ids, ids[1:] + ids[:1], strict=True)}
 
 
+@pytest.mark.parametrize("outliers", [[1 << 50], [-(1 << 62), 1 << 62], [-(1 << 63), (1 << 63) - 1], []])
+def test_ranges_hold_equal_numbers_of_rows_whatever_the_ids(spark, outliers):
+    ids = sorted([*range(5_000, 25_000), *outliers])
+    frame = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string")
+    for most in (1000, 8):  # one level of cuts, and two
+        numbered = op4._ranges(frame.select("doc_id"), 512, most)(frame)
+        sizes = [r["count"] for r in numbered.groupBy("bucket").count().collect()]
+        assert len(sizes) >= 36 and max(sizes) <= 2 * 512
+        by_id = [r.bucket for r in numbered.orderBy("doc_id").collect()]
+        assert by_id == sorted(by_id)
+    found = {r.doc_id: r.next.text for r in op4.with_next(frame, ["text"], per_range=512).collect()}
+    assert found == {a: str(b) for a, b in zip(ids, ids[1:] + ids[:1], strict=True)}
+
+
+def test_fingerprints_equal_their_definition(spark):
+    """Bins, densification and packing, recomputed from the shingle hashes of a text."""
+    r = random.Random(16)
+    texts = [" ".join(words(r, n)) for n in (1, 4, 5, 6, 12, 60, 400, 3000)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {x.doc_id: x.fingerprint for x in op4.fingerprints(frame).collect()}
+    for k, text in enumerate(texts):
+        w = text.split()
+        grams = [w[i : i + 5] for i in range(max(1, len(w) - 4))]
+        hashed = spark.createDataFrame([(g,) for g in grams], "g array<string>").select(F.xxhash64("g").alias("h")).collect()
+        minima: dict[int, int] = {}
+        for x in hashed:  # the upper eight bits choose the bin, in signed order, which keeps the least hash
+            b = (x.h >> 56) + 128
+            minima[b] = min(minima.get(b, x.h), x.h)
+        empty = [b for b in range(256) if b not in minima]
+        probes = {
+            x.b: list(x.p)
+            for x in spark.createDataFrame([(b,) for b in empty] or [(0,)], "b int")
+            .select("b", F.array(*(F.pmod(F.xxhash64("b", F.lit(j)), F.lit(256)).cast("int") for j in range(4))).alias("p"))
+            .collect()
+        }
+        full = sorted(minima)
+        pairs = [(b, f) for b in empty for f in full]
+        last = {}
+        for x in spark.createDataFrame(pairs or [(0, 0)], "b int, f long").withColumn("h", F.xxhash64("b", F.col("f") - 128, F.lit(4))).collect():
+            last[x.b] = min(last.get(x.b, (x.h, x.f)), (x.h, x.f))
+        bins = [minima[b] if b in minima else next((minima[p] for p in probes[b] if p in minima), minima.get(last[b][1]) if b in last else None) for b in range(256)]
+        digits = ["0123456789ABCDEF"[v & 15] for v in bins]
+        want = "".join("".join(reversed(digits[16 * i : 16 * i + 16])) for i in range(16))
+        assert found[k] == want
+
+
 # decontamination
 
 
@@ -200,6 +246,15 @@ def test_line_dedup_odd_rows(spark):
     assert op7.line_dedup(frame.limit(0)).count() == 0
 
 
+def test_line_dedup_of_a_long_list_of_boilerplate(spark):
+    menu = [f"entry {i}" for i in range(3000)]
+    rows = [(i, "\n".join([*menu[i * 7 % 100 :], f"own {i}", "entry -1"]), "site", "x") for i in range(12)]
+    found = {r.doc_id: r.text for r in op7.line_dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    holders = {m: sum(m in r[1].split("\n") for r in rows) for m in [*menu, "entry -1"]}
+    for i, text, _, _ in rows:
+        assert found[i] == "\n".join(x for x in text.split("\n") if holders.get(x, 1) < 4)
+
+
 # suffix dedup
 
 
