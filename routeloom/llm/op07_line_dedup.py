@@ -5,11 +5,11 @@ The pages of a host that contain a line are counted and divided by the host's pa
 
 Lines are compared after trimming spaces, by two 64-bit hashes of host and line, which is a partial aggregate before
 the shuffle, so a line on a third of all pages arrives as one row per map task. A host has at most
-(lines per page) / ``ratio`` boilerplate lines, whatever its size, so the list of a host is bounded; the join with it
-is broadcast only when the written list is below the session's broadcast threshold, and else a sort-merge join on the
+(lines per page) / ``ratio`` boilerplate lines, whatever its size, so the list of a host is bounded. Lists are sorted,
+and a line is looked up in its host's by binary search. The join with the lists is broadcast only when the written list is below the session's broadcast threshold, and else a sort-merge join on the
 host that adaptive execution may split.
 
-Defined cases: a null text stays null with no lines; blank lines are never dropped; a line that repeats within a page
+Defined cases: a text of any length or number of lines is one page; a null text stays null with no lines; blank lines are never dropped; a line that repeats within a page
 counts that page once and is dropped everywhere in it; a null host is a host of its own; repeated rows are pages each;
 an empty table gives an empty result; other columns pass through untouched.
 """
@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from routeloom.functions.expressions import let, ranked_in
 from routeloom.storage import materialize
 
 
@@ -40,7 +41,7 @@ def boilerplate_lines(docs: DataFrame, site_col: str = "source", text_col: str =
     totals = pages.groupBy("site").agg(F.count(F.lit(1)).alias("total"))
     often = counts.filter(F.col("pages") >= min_pages)
     found = often.join(totals, often["site"].eqNullSafe(totals["site"])).filter(F.col("pages") > F.col("total") * ratio)
-    return found.groupBy(often["site"].alias("site")).agg(F.collect_list("key").alias("keys"))
+    return found.groupBy(often["site"].alias("site")).agg(F.sort_array(F.collect_list("key")).alias("keys"))
 
 
 def line_dedup(
@@ -54,8 +55,13 @@ def line_dedup(
     boiler = boiler.select(F.col("site").alias("__site"), F.col("keys").alias("__keys"))
     site, text = F.col(site_col).cast("string"), F.col(text_col).cast("string")
     joined = docs.join(boiler, site.eqNullSafe(F.col("__site")), "left")
-    drops = lambda s: F.coalesce(F.array_contains(F.col("__keys"), _line_key(site, F.trim(s))), F.lit(False))
-    kept = F.when(F.col("__keys").isNull(), _lines(text)).otherwise(F.filter(_lines(text), lambda s: (F.trim(s) == "") | ~drops(s)))
+    keys = F.col("__keys")
+
+    def without(rank):
+        listed = lambda key: F.coalesce(F.get(keys, rank(key) - 1) == key, F.lit(False))
+        return F.filter(_lines(text), lambda s: (F.trim(s) == "") | ~let(_line_key(site, F.trim(s)), listed))
+
+    kept = F.when(keys.isNull(), _lines(text)).otherwise(ranked_in(keys, without))
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(_lines(text)))
     n_kept = F.when(text.isNull(), 0).otherwise(F.size("__kept"))
     out = joined.withColumn("__kept", kept).withColumn("__n", n_lines)
