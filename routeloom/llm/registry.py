@@ -82,20 +82,24 @@ def _sql_seed(mask: str) -> str:
     return " || ' ' || ".join(f"ws[pos + {k + 1}]" for k, bit in enumerate(mask) if bit == "1")
 
 
-_SPLIT = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+_SPLIT = rf"list_filter(regexp_split_to_array(regexp_replace(lower(text), '{_UNSPACED}', ' \1 ', 'g'), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+# Items of a window or more by seeds; shorter ones by comparing them at every place.
 OP5_SQL = f"""
 WITH d AS (SELECT doc_id AS id, {_SPLIT} AS ws FROM documents),
 i AS (SELECT item_id AS id, {_SPLIT} AS ws FROM benchmark),
 dp AS (SELECT id, unnest(range(0, len(ws) - 7)) AS pos, ws FROM d WHERE len(ws) >= 8),
-ip AS (SELECT id, unnest(range(0, len(ws) - 7)) AS pos, ws FROM i WHERE len(ws) >= 8),
+ip AS (SELECT id, unnest(range(0, len(ws) - 7)) AS pos, ws FROM i WHERE len(ws) >= 13),
 ds AS ({" UNION ALL ".join(f"SELECT id, pos, {m} AS m, {_sql_seed(x)} AS s FROM dp" for m, x in enumerate(op5.MASKS))}),
 js AS ({" UNION ALL ".join(f"SELECT id, pos, {m} AS m, {_sql_seed(x)} AS s FROM ip" for m, x in enumerate(op5.MASKS))}),
 h AS (SELECT DISTINCT ds.id AS doc_id, ds.pos AS pos, js.id AS item_id, js.pos AS ipos FROM ds JOIN js ON ds.m = js.m AND ds.s = js.s),
-v AS (SELECT doc_id, item_id, least(len(i.ws), 13) AS wd, list_transform(range(greatest(0, ipos + 8 - least(len(i.ws), 13)), least(len(i.ws), ipos + least(len(i.ws), 13))),
+v AS (SELECT doc_id, item_id, list_transform(range(greatest(0, ipos - 5), least(len(i.ws), ipos + 13)),
         lambda k: CASE WHEN pos - ipos + k >= 0 AND d.ws[pos - ipos + k + 1] = i.ws[k + 1] THEN 1 ELSE 0 END) AS f
       FROM h JOIN d ON d.id = doc_id JOIN i ON i.id = item_id),
-o AS (SELECT doc_id, item_id, wd, list_max(list_transform(range(1, greatest(1, len(f) - wd + 1) + 1), lambda a: list_sum(f[a:a + wd - 1]))) AS best FROM v),
-p AS (SELECT doc_id, item_id, max(best) AS overlap FROM o WHERE best >= ceil(wd * 0.8::DOUBLE) GROUP BY doc_id, item_id)
+o AS (SELECT doc_id, item_id, list_max(list_transform(range(1, greatest(1, len(f) - 12) + 1), lambda a: list_sum(f[a:a + 12]))) AS best, 11 AS need FROM v
+      UNION ALL SELECT d.id, i.id, list_max(list_transform(range(0, len(d.ws) - len(i.ws) + 1), lambda p: list_sum(list_transform(range(1, len(i.ws) + 1), lambda k: CASE WHEN d.ws[p + k] = i.ws[k] THEN 1 ELSE 0 END)))),
+        CASE WHEN len(i.ws) < 8 THEN len(i.ws) ELSE ceil(len(i.ws) * 0.8::DOUBLE) END FROM d JOIN i ON len(i.ws) BETWEEN 1 AND 12 AND len(d.ws) >= len(i.ws)),
+p AS (SELECT doc_id, item_id, max(best) AS overlap FROM o WHERE best >= need GROUP BY doc_id, item_id)
 SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS item_ids, max(overlap)::INTEGER AS overlap FROM p GROUP BY doc_id
 """
 

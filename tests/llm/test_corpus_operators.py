@@ -174,6 +174,52 @@ def test_decontamination_finds_substituted_passages(spark):
     assert left.columns == frame.columns and {x.doc_id for x in left.collect()} == {d for d in range(200)} - {d for d, _ in want}
 
 
+@pytest.mark.parametrize("n", range(1, 13))
+def test_masks_of_short_items_are_lossless(n):
+    masks = op5.masks_of(n, 13, 0.8)
+    assert all(len(m) == n for m in masks)
+    k = n - -(-8 * n // 10) if n >= 8 else 0
+    for errors in itertools.combinations(range(n), k):
+        assert any(all(bit == "0" or i not in errors for i, bit in enumerate(m)) for m in masks)
+
+
+def test_decontamination_of_items_of_every_length(spark):
+    """Items of 1 to 16 words with as many substitutions as are allowed, and one more; also of a script without spaces."""
+    r = random.Random(17)
+    items, docs, want = [], [], set()
+    for n in range(1, 17):
+        item = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        w = min(n, 13)
+        k = 0 if n < 8 else w - -(-8 * w // 10)
+        for more in (0, 1):
+            for trial in range(6):
+                part = list(item[:w])
+                for at in r.sample(range(w), min(w, k + more)):
+                    part[at] = "other"
+                docs.append((len(docs), " ".join([*words(r, trial), *part, *words(r, 3)]), "s", "x"))
+                if not more:
+                    want.add((docs[-1][0], n))
+    items += [(50, "測試用的問題"), (51, "คำถาม")]
+    docs += [(1000, "前文測試用的問題後文", "s", "x"), (1001, "測試用的", "s", "x"), (1002, "นี่คือคำถามนะ", "s", "x")]
+    want |= {(1000, 50), (1002, 51)}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in op5.contaminated_pairs(spark.createDataFrame(docs, DOCS), bench).collect()}
+    assert found == want
+
+
+def test_decontamination_of_a_passage_in_a_thousand_items(spark):
+    r = random.Random(18)
+    passage = words(r, 20)
+    bench = spark.createDataFrame([(i, " ".join([*words(r, 6), *passage, *words(r, 6)])) for i in range(1000)] + [(2000, "to be " * 400)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join([*words(r, 30), *passage, *words(r, 30)]), "s", "x") for i in range(30)] + [(99, "to be " * 3000, "s", "x")], DOCS)
+    found = {x.doc_id: (x.n_items, x.overlap) for x in op5.contaminated_documents(docs, bench).collect()}
+    assert found == {**{i: (1000, 13) for i in range(30)}, 99: (1, 13)}
+    contexts, _, _ = op5.benchmark_contexts(bench.filter("item_id = 2000").select("item_id", op5.words_of(F.col("text")).alias("words")), 13, 0.8)
+    assert contexts.count() <= 40  # of 793 places of the repetitive item
+    assert op5.decontaminate(docs, bench).count() == 0
+
+
 def test_decontamination_of_the_table_and_odd_rows(spark):
     texts = texts_of(spark)
     items = [r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
@@ -182,6 +228,8 @@ def test_decontamination_of_the_table_and_odd_rows(spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (4, "a b c d e f g h"), (None, "q r s t u v w x")], "item_id long, text string")
     docs = spark.createDataFrame([(1, None, "s", "x"), (2, "", "s", "x"), (3, "x a b c d e f g h y", "s", "x"), (3, "x a b c d e f g h y", "s", "x"), (None, "a b c d e f g h", "s", "x")], DOCS)
     assert {(r.doc_id, r.item_id) for r in op5.contaminated_pairs(docs, bench).collect()} == {(3, 4), (None, 4)}
+    clash = docs.withColumnRenamed("source", "overlap").withColumnRenamed("n_lines", "seed").withColumn("at", F.lit(1)).withColumn("no", F.lit(2)).withColumn("words", F.lit(""))
+    assert op5.decontaminate(clash, bench).columns == clash.columns and op5.decontaminate(clash, bench).count() == 2
     assert op5.contaminated_pairs(docs.limit(0), bench).count() == 0 and op5.contaminated_pairs(docs, bench.limit(0)).count() == 0
     assert op5.decontaminate(docs, bench).count() == 2
 
