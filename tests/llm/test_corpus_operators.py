@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -264,6 +265,62 @@ def test_mined_rules_decide_the_rest(spark):
     assert len(found) == 20 and all(r.verdict == ("block" if r.page_id % 2 else "allow") and r.mined_confidence >= 0.8 for r in found)
 
 
+def _mined(labelled, min_support, min_confidence):
+    """Rules by plain counting of all itemsets: {(tokens, label): (confidence, support)} after pruning."""
+    rules, total = {}, len(labelled)
+    counts, hits = {}, {}
+    for tokens, label in labelled:
+        for k in range(1, len(tokens) + 1):
+            for x in itertools.combinations(sorted(tokens), k):
+                counts[x] = counts.get(x, 0) + 1
+                hits[x, label] = hits.get((x, label), 0) + 1
+    for (x, label), h in hits.items():
+        if h >= min_support * total and h / counts[x] >= min_confidence:
+            rules[x, label] = (h / counts[x], h / total)
+    return {
+        (x, label): v
+        for (x, label), v in rules.items()
+        if not any((y, label) in rules and rules[y, label][0] >= v[0] for k in range(1, len(x)) for y in itertools.combinations(x, k))
+    }
+
+
+def test_mined_rules_equal_plain_counting(spark):
+    r = random.Random(20)
+    for trial in range(3):
+        labelled = []
+        for _ in range(120):
+            tokens = {t for t in "abcdefg" if r.random() < 0.5}
+            odds = 0.95 if {"a", "b", "c"} <= tokens else 0.9 if {"d", "e"} <= tokens else 0.3
+            labelled.append((sorted(tokens | ({"pure"} if r.random() < 0.1 * trial and odds > 0.8 else set())), "block" if r.random() < odds else "allow"))
+        labelled = [(t, y) for t, y in labelled if t]
+        frame = spark.createDataFrame(labelled, "tokens array<string>, label string")
+        found = {(tuple(x.tokens), x.label): (round(x.confidence, 9), round(x.support, 9)) for x in op6.mine_rules(frame, "tokens", "label", 0.05, 0.8).collect()}
+        assert found == {k: (round(c, 9), round(s, 9)) for k, (c, s) in _mined(labelled, 0.05, 0.8).items()}
+        assert any(len(x) >= 2 for x, _ in found)
+
+
+def test_mined_verdicts_of_the_table(spark):
+    """The best of the rules that plain counting finds decides each URL that no explicit rule judges."""
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    url = F.col("url")
+    sets = pages.select("page_id", op6.url_tokens(url, op6.host_of(url), op6.path_of(url)).alias("tokens")).collect()
+    found = {x.page_id: x for x in op6.url_filter(pages, registry.URL_RULES).collect()}
+    labelled = [(x.tokens, found[x.page_id].verdict) for x in sets if found[x.page_id].rule is not None and x.tokens]
+    rules = _mined(labelled, 0.01, 0.8)
+    for x in sets:
+        if found[x.page_id].rule is None:
+            fits = [(c, s, len(t), y) for (t, y), (c, s) in rules.items() if set(t) <= set(x.tokens)]
+            assert found[x.page_id].verdict == (max(fits)[3] if fits else "allow")
+
+
+def test_mining_of_deep_paths_is_bounded(spark):
+    deep = ["/".join(f"s{k}" for k in range(30))] * 300
+    urls = [f"http://a.com/{'de' if i % 3 == 0 else 'fr'}/{p}" for i, p in enumerate(deep)] + [f"http://b.net/x/{p}" for p in deep[:20]]
+    began = time.perf_counter()
+    found = op6.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), registry.URL_RULES).collect()
+    assert len(found) == 320 and time.perf_counter() - began < 60
+
+
 def test_url_query_over_the_whole_table(spark):
     urls = {r.page_id: r.url for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
     found = registry.op6_url_filters(spark, DATA).collect()
