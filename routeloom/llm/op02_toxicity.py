@@ -16,7 +16,8 @@ the same number of steps, and memory is bounded by the slice.
 
 Defined cases: null, empty and blank texts have no tokens and get the score of a text without toxic tokens; without
 any toxic or without any clean labelled document every score is the share of toxic labels (0 if there are no labels);
-rows without a label teach nothing; repeated rows are scored each for itself; only the named columns are read.
+rows without a label, or whose labels disagree, teach nothing; repeated rows are scored each for itself; texts of any
+length are scored whole; an empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -147,6 +148,44 @@ def marginals(potentials: list[np.ndarray], pairs: np.ndarray, start: float) ->
     return out
 
 
+def chain_statistics(potentials: list[np.ndarray], pairs: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """What the gradient needs of short sequences: marginals laid end to end, expected tag pairs, expected toxic first tags."""
+    lengths = np.array([len(p) for p in potentials])
+    order = np.argsort(-lengths, kind="stable")
+    active = np.searchsorted(-lengths[order], -np.arange(int(lengths.max())), side="left")  # sequences longer than t
+    e = np.zeros((len(active), len(potentials)))
+    for i, k in enumerate(order):
+        e[: lengths[k], i] = potentials[k]
+    e, a = np.exp(e), np.exp(pairs)
+    forward = np.zeros((len(e), 2, len(potentials)))
+    f0, f1 = np.ones(len(potentials)), np.exp(start) * e[0]
+    for t, n in enumerate(active):
+        if t:
+            f0, f1 = f0[:n], f1[:n]
+            f0, f1 = f0 * a[0, 0] + f1 * a[1, 0], (f0 * a[0, 1] + f1 * a[1, 1]) * e[t, :n]
+        z = f0 + f1
+        f0, f1 = f0 / z, f1 / z
+        forward[t, 0, :n], forward[t, 1, :n] = f0, f1
+    tagged, both = np.zeros_like(e), np.zeros((2, 2))
+    b0, b1 = np.ones(len(potentials)), np.ones(len(potentials))
+    for t in range(len(e) - 1, -1, -1):
+        n = active[t]
+        g0, g1 = forward[t, 0, :n] * b0[:n], forward[t, 1, :n] * b1[:n]
+        tagged[t, :n] = g1 / (g0 + g1)
+        if t:
+            h0, h1 = b0[:n], e[t, :n] * b1[:n]
+            p, q = forward[t - 1, 0, :n], forward[t - 1, 1, :n]
+            joint = np.array([[p * a[0, 0] * h0, p * a[0, 1] * h1], [q * a[1, 0] * h0, q * a[1, 1] * h1]])
+            both += (joint / joint.sum(axis=(0, 1))).sum(axis=2)
+            c0, c1 = a[0, 0] * h0 + a[0, 1] * h1, a[1, 0] * h0 + a[1, 1] * h1
+            z = c0 + c1
+            b0[:n], b1[:n] = c0 / z, c1 / z
+    out = [np.zeros(0)] * len(potentials)
+    for i, k in enumerate(order):
+        out[k] = tagged[: lengths[k], i]
+    return np.concatenate(out), both, float(tagged[0].sum())
+
+
 def document_features(m: np.ndarray) -> tuple[float, float, float]:
     """Aggregate of a document's marginals: the largest, and the expected number and share of toxic tokens.
 
@@ -210,7 +249,11 @@ def tag_tokens(texts: list[list[str]], labels: list[int], least_surprise: float
 
 
 def fit(texts: list[str], labels: list[int], max_tokens: int = 200, steps: int = 30) -> Field:
-    """Field and document regression from labelled texts. Gradients are expected minus observed feature counts."""
+    """Field and document regression from labelled texts.
+
+    The weights of features, tag pairs and the first tag all go up their gradient, observed minus expected counts; pairs
+    begin at their log counts.
+    """
     model = Field(prior=float(np.mean(labels)) if labels else 0.0)
     if len(set(labels)) < 2:
         return model
@@ -239,23 +282,28 @@ def fit(texts: list[str], labels: list[int], max_tokens: int = 200, steps: int =
     for g in cut_tags:
         if len(g) > 1:
             np.add.at(seen_pairs, (g[:-1].astype(int), g[1:].astype(int)), 1)
-    seen_pairs += 1.0
-    # tag pairs from their counts, relative to clean-clean, which the bias then balances
-    model.pairs = np.log(seen_pairs / seen_pairs.sum(axis=1, keepdims=True))
-    model.pairs -= model.pairs[0, 0]
+    begun = np.log((seen_pairs + 1.0) / (seen_pairs + 1.0).sum(axis=1, keepdims=True))
     w, bias = np.zeros(len(ids)), 0.0
-    speed_w, speed_b = np.full(len(ids), 1e-2), 1e-2
+    # clean-clean stays 0: the other pairs, and the first tag, are relative to it
+    chain_w = np.append((begun - begun[0, 0]).ravel()[1:], 0.0)
+    first_tags = float(sum(g[0] for g in cut_tags))
+    seen_chain = np.append(seen_pairs.ravel()[1:], first_tags)
+    speed_w, speed_b, speed_c = np.full(len(ids), 1e-2), 1e-2, np.full(4, 1e-2)
     observed = np.bincount(flat, weights=y[owner], minlength=len(ids))
     for _ in range(steps):
         scores = np.clip(bias + np.bincount(owner, weights=w[flat], minlength=len(y)), -30, 30)
-        m = np.concatenate(marginals([scores[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], model.pairs, bias * 0))
+        pairs = np.append(0.0, chain_w[:3]).reshape(2, 2)
+        m, both, firsts = chain_statistics([scores[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pairs, chain_w[3])
         g = observed - np.bincount(flat, weights=m[owner], minlength=len(ids)) - 0.05 * w
         speed_w += g * g
         w += 0.5 * g / np.sqrt(speed_w)
         gb = float(y.sum() - m.sum())
         speed_b += gb * gb
         bias += 0.5 * gb / np.sqrt(speed_b)
-    model.bias = bias
+        gc = seen_chain - np.append(both.ravel()[1:], firsts) - 0.05 * chain_w
+        speed_c += gc * gc
+        chain_w += 0.5 * gc / np.sqrt(speed_c)
+    model.bias, model.pairs, model.start = bias, np.append(0.0, chain_w[:3]).reshape(2, 2), float(chain_w[3])
     model.weights = {f: float(w[i]) for f, i in ids.items() if abs(w[i]) > 0.02}
     whole = marginals([np.array([model.potential(x) for x in t]) for t in words], model.pairs, model.start)
     model.document = _logistic(np.array([document_features(m) for m in whole]), np.array(labels, dtype=float))
@@ -277,19 +325,21 @@ def train(
     """Fit on a bounded sample: texts of up to ``max_chars`` first; of a longer one so many characters are learned from.
 
     The sample is drawn from narrow rows of id, label and length, and each task gives at most the sample's size. Its
-    ids, whose number the parameters bound, are broadcast, and only the texts that they name reach the driver.
+    ids, whose number the parameters bound, are broadcast, and only the texts that they name reach the driver, one for
+    each id: of rows that repeat an id the first text in order. Ids whose labels disagree teach nothing.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     y = F.col(label_col).cast("int").alias("y")
     known = labels.select(F.col(id_col).alias("doc_id"), y).filter(F.col("y").isin(0, 1))
-    lengths = rows.filter("text is not null").select("doc_id", (F.length("text") > max_chars).alias("long")).join(known, "doc_id")
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).filter("y = other").drop("other")
+    lengths = rows.filter("text is not null").groupBy("doc_id").agg(F.bool_or(F.length("text") > max_chars).alias("long")).join(known, "doc_id")
     narrow = materialize(lengths, "labelled")
     wanted: dict[int, int] = {}
     for value, most in ((1, max_toxic), (0, max_clean)):
         own = narrow.filter(F.col("y") == value).orderBy("long", F.xxhash64("doc_id"), "doc_id").limit(most)
         wanted |= {r["doc_id"]: value for r in own.select("doc_id").collect()}
     ids = docs.sparkSession.createDataFrame([(i,) for i in wanted], "doc_id long")
-    found = rows.join(F.broadcast(ids), "doc_id").select("doc_id", F.substring("text", 1, max_chars).alias("text")).collect()
+    found = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.substring("text", 1, max_chars)).alias("text")).collect()
     found.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     return fit([r["text"] for r in found], [wanted[r["doc_id"]] for r in found], max_tokens)
 

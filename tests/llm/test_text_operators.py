@@ -2,11 +2,14 @@
 
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+import regex
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 
 from routeloom.llm import op01_language_id as op1
@@ -105,6 +108,30 @@ def test_token_counts_add_up(spark, vocabulary):
     assert whole.count() == spark.read.parquet(f"{DATA}/documents.parquet").count()
 
 
+def test_token_counts_of_the_table_equal_plain_dynamic_programming(spark, vocabulary):
+    path, pattern = vocabulary
+    scores = op9.zipf_scores(op9.load_ranks(path))
+    longest, counts = max(map(len, scores)), {}
+
+    def count(piece):
+        best = [(0.0, 0)]
+        for end in range(1, len(piece) + 1):
+            options = [(best[end - 1][0] - 30.0, -best[end - 1][1] - 1)]
+            for start in range(max(0, end - longest), end):
+                if piece[start:end] in scores:
+                    options.append((best[start][0] + scores[piece[start:end]], -best[start][1] - 1))
+            top = max(options)
+            best.append((top[0], -top[1]))
+        return best[-1][1]
+
+    found = {r.doc_id: r for r in registry.op9_token_counts(spark, DATA).collect()}
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").collect():
+        pieces = [p.encode() for p in regex.findall(pattern, r.text or "")]
+        for p in set(pieces) - counts.keys():
+            counts[p] = count(p)
+        assert (found[r.doc_id].n_tokens, found[r.doc_id].n_bytes) == (sum(counts[p] for p in pieces), len((r.text or "").encode()))
+
+
 def test_language_of_held_out_texts(spark):
     sf = DATA.replace("sf0.001", "sf0.01")
     found = registry.op1_language_id(spark, sf)
@@ -149,6 +176,92 @@ def test_marginals_do_not_depend_on_segments(monkeypatch):
     assert all(np.allclose(x, y) for x, y in zip(a, b, strict=True))
 
 
+def test_chain_statistics_equal_enumeration():
+    rng = np.random.default_rng(2)
+    pairs, start = np.array([[0.0, -1.5], [0.3, 1.0]]), -0.4
+    rows = [rng.normal(size=n) for n in (3, 1, 6, 2, 6)]
+    want_m, want_pairs, want_first = [], np.zeros((2, 2)), 0.0
+    for e in rows:
+        z, m, both, first = 0.0, np.zeros(len(e)), np.zeros((2, 2)), 0.0
+        for tags in itertools.product((0, 1), repeat=len(e)):
+            p = np.exp(sum(e[i] for i in range(len(e)) if tags[i]) + sum(pairs[a, b] for a, b in itertools.pairwise(tags)) + start * tags[0])
+            z, m, first = z + p, m + p * np.array(tags), first + p * tags[0]
+            for a, b in itertools.pairwise(tags):
+                both[a, b] += p
+        want_m.append(m / z)
+        want_pairs += both / z
+        want_first += first / z
+    m, both, first = op2.chain_statistics(rows, pairs, start)
+    assert np.allclose(m, np.concatenate(want_m)) and np.allclose(both, want_pairs) and np.isclose(first, want_first)
+
+
+def test_pair_and_start_weights_are_learned():
+    """Toxic words come in runs and never first: the learned chain prefers staying over starting."""
+    r = random.Random(6)
+    plain = [" ".join(r.choices(["alpha", "beta", "gamma"], k=30)) for _ in range(40)]
+    toxic = [" ".join([*r.choices(["alpha", "beta"], k=10), *["vilewort"] * 4, *r.choices(["beta", "gamma"], k=10)]) for _ in range(40)]
+    model = op2.fit(plain + toxic, [0] * 40 + [1] * 40)
+    assert model.start < 0 and model.pairs[1, 1] > model.pairs[0, 1] and model.pairs[0, 0] == 0
+
+
+def test_toxicity_of_the_table_equals_a_plain_forward_backward(spark):
+    model = registry.train_toxicity(spark, DATA)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    found = {r.doc_id: r for r in registry.op2_toxicity(spark, DATA).collect()}
+    a = np.exp(model.pairs)
+    for k, text in texts.items():
+        e = [(1.0, float(np.exp(model.potential(w)))) for w in text.lower().split()]
+        forward, v = [], None
+        for t, x in enumerate(e):
+            v = np.array([1.0, np.exp(model.start)]) * x if not t else (v @ a) * x
+            v = v / v.sum()
+            forward.append(v)
+        m, b = np.zeros(len(e)), np.ones(2)
+        for t in range(len(e) - 1, -1, -1):
+            g = forward[t] * b
+            m[t] = g[1] / g.sum()
+            b = a @ (np.array(e[t]) * b)
+            b = b / b.sum()
+        z = float(np.dot(model.document[:-1], op2.document_features(m)) + model.document[-1])
+        assert np.isclose(found[k].score, 1 / (1 + np.exp(-np.clip(z, -30, 30))), atol=1e-6)
+        places = [x.span() for x in re.finditer(r"\S+", text)]
+        sure = [places[i] for i in np.flatnonzero(m >= 0.5 + 1e-9) if i < len(places)]
+        assert set(sure) <= {(s.start, s.end) for s in found[k].spans} and len(found[k].spans) <= int((m >= 0.5 - 1e-9).sum())
+
+
+def test_training_takes_one_text_of_an_id_and_no_doubtful_label(spark):
+    docs = spark.createDataFrame([(i, f"alpha {'vilewort' if i % 2 else 'beta'} gamma", "x") for i in range(200)] + [(1, "aaa other", "x")] * 50, SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(4, 1), (5, 0)], "doc_id long, toxic int")
+    seen = []
+    keep = op2.fit
+    try:
+        op2.fit = lambda texts, y, *a: seen.extend(zip(texts, y, strict=True)) or keep(texts, y, *a)
+        op2.train(docs, labels)
+    finally:
+        op2.fit = keep
+    assert len(seen) == 198 and ("aaa other", 1) in seen
+
+
+def test_language_of_the_table_equals_plain_compression(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = op1.train_dictionaries(docs.filter(~registry.held_out()))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in registry.op1_language_id(spark, DATA).collect():
+        text = texts[r.doc_id]
+        if not text or not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        sizes = {}
+        for lang, content in model.items():
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=5)
+            c = zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = len(c.compress(op1.normalized(text)))
+        assert r.lang_pred == min(model, key=lambda x: (sizes[x], list(model).index(x))) and 1 / len(model) - 1e-9 <= r.score <= 1
+        best, second = sorted(sizes.values())[:2]
+        assert np.isclose(r.margin, (second - best) / second) and r.rejected == (r.margin < 0.02)
+
+
 def test_toxicity_of_held_out_texts(spark):
     sf = DATA.replace("sf0.001", "sf0.1")
     found = registry.op2_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out")
