@@ -10,7 +10,7 @@ bytes together. At most ``max_languages`` languages are learned, the most freque
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; without any labelled text
 everything is ``und``; ties go to the language with more labelled texts, then by name; rows with a null language
-teach nothing; repeated rows are predicted each for itself; only the named columns are read.
+teach nothing; texts of any length are compressed whole; an empty table gives an empty result; repeated rows are predicted each for itself; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -90,8 +90,10 @@ class CompressionClassifier:
             return self.langs[best], 1.0, 1.0, False
         second = min(s for i, s in enumerate(sizes) if i != best)
         gap = (second - sizes[best]) / second
-        # bytes saved are log-likelihood: the share of the best among all, damped so that long texts do not saturate
-        total = sum(math.exp(-(s - sizes[best]) * 0.7) for s in sizes)
+        # bytes saved are log-likelihood: the share of the best among all, by bytes of a thousand at most, so that what a
+        # long text gives is its rate and not its length
+        per = 0.7 * min(1.0, 1000 / max(1, len(raw)))
+        total = sum(math.exp(-(s - sizes[best]) * per) for s in sizes)
         return self.langs[best], 1.0 / total, gap, gap < margin
 
 
