@@ -55,3 +55,37 @@ def test_line_stage_updates_the_length(spark):
     frame = spark.createDataFrame([(i, f"menu\nbody {i}", "a", "en", 99) for i in range(20)], "doc_id long, text string, source string, lang string, n_chars long")
     found = corpus_pipeline.line_dedup(spark, frame, DATA)
     assert found.filter(F.col("n_chars") != F.length("text")).count() == 0
+
+
+def _tables(spark, folder, documents, labels, benchmark):
+    extra = "n_dropped string, site string, overlap int, component_id long"  # clash with what operators make
+    rows = [(*d, f"own {i}", "s", i, 7) for i, d in enumerate(documents)]
+    spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {extra}").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    passage = "this benchmark passage of a dozen and more words must not be learned by heart at all"
+    documents = [
+        (1, None, "en", "a", None), (2, "", None, None, 0), (None, "no id here at all", "en", "a", 17), (3, " \n ", "en", "a", 3),
+        (4, "word " * 60_000, "en", "b", 300_000), (5, f"before it {passage} after it", "en", "b", 99),
+        (6, "twice the same words stand here in a row", "en", "c", 40), (6, "twice the same words stand here in a row", "en", "c", 40),
+        (7, "twice the same words stand here in a row", "en", "c", 40), (8, None, None, None, None),
+    ]
+    labels = [(1, None, None), (None, 1, 1), (4, 1, 0)]
+    where = _tables(spark, tmp_path, documents, labels, [(1, passage), (2, None), (None, "")])
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, where).columns == docs.columns, name
+        assert stage(spark, docs.limit(0), where).count() == 0, name
+    lines = corpus_pipeline.line_dedup(spark, docs, where)
+    assert {r.n_dropped for r in lines.collect()} == {f"own {i}" for i in range(len(documents))}
+    found = [(r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, where).collect()]
+    assert sorted(str(k) for k, _ in found) == sorted(map(str, [1, 2, None, 3, 4, 6, 6, 8]))
+    assert all(n == 0 for k, n in found if k in (1, 2, 8)) and {n for k, n in found if k == 4} != {0}
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, _tables(spark, tmp_path, [], [], [])).count() == 0
