@@ -81,11 +81,10 @@ def anchors_of(raws: list[bytes], length: int, gram: int = GRAM) -> tuple[np.nda
     least = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)  # ties: the leftmost
     width, reach = 1, length - gram + 1
     while width * 2 <= reach:
-        least = np.minimum(least, np.append(least[width:], np.full(min(width, len(least)), np.uint64(2**64 - 1))))
+        least[:-width] = np.minimum(least[:-width], least[width:])  # at the end there is nothing to compare with
         width *= 2
     if reach > width:
-        more = np.append(least[reach - width :], np.full(min(reach - width, len(least)), np.uint64(2**64 - 1)))
-        least = np.minimum(least, more[: len(least)])
+        least[: width - reach] = np.minimum(least[: width - reach], least[reach - width :])
     at = (least[windows] & _LOW).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.append(first[1:], len(at)) - 1
@@ -251,7 +250,7 @@ def _joined_spans(doc: np.ndarray, tie: np.ndarray, place: np.ndarray, length: i
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_span_schema())
 
 
-def _sorted_by_suffix(contexts: DataFrame, length: int, most_bytes: int = 3_000_000) -> DataFrame:
+def _sorted_by_suffix(contexts: DataFrame, length: int, most_bytes: int = 1_200_000) -> DataFrame:
     """Repeated spans among different contexts of one anchor; rows of an anchor meet in one task, a bounded number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
