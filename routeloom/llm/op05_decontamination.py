@@ -41,11 +41,12 @@ from routeloom.storage import broadcast_if_small, materialize
 #: Spaced seeds: fixed values, lossless for two substitutions in thirteen words.
 MASKS = ("11101011", "11001111")
 _SPAN = 8
-_UNSPACED = "".join(rf"\p{{Is{script}}}" for script in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+#: Blocks of scripts without spaces, as ranges of a character class: Thai, Lao, Myanmar, Khmer, kana, Han. Fixed values.
+UNSPACED = r"฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿"
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"([{_UNSPACED}]|[\p{{L}}\p{{N}}&&[^{_UNSPACED}]]+)"))
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text), rf"([{UNSPACED}])", " $1 "), r"[^\p{L}\p{N}]+"), "")
 
 
 def masks_of(n: int, window: int, share: float) -> tuple[str, ...]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,7 +84,7 @@ def _sql_seed(mask: str) -> str:
     return " || ' ' || ".join(f"ws[pos + {k + 1}]" for k, bit in enumerate(mask) if bit == "1")
 
 
-_UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+_UNSPACED = "([" + re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", op5.UNSPACED) + "])"
 _SPLIT = rf"list_filter(regexp_split_to_array(regexp_replace(lower(text), '{_UNSPACED}', ' \1 ', 'g'), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 # Items of a window or more by seeds; shorter ones by comparing them at every place.
 OP5_SQL = f"""
