@@ -11,7 +11,8 @@ or further left in the same one. Texts are UTF-8 bytes, and matches never cross
    anchor may stand for. Contexts of equal 128-bit BLAKE2b digest are merged; all but the earliest repeat throughout.
 4. What is left are different contexts of one anchor, whose bytes are cut out now. They are laid end to end and sorted
    by their suffixes (see suffix_grouping), a slice of many anchors at once; windows that are neighbours in that order
-   and have equal bytes repeat, but for the earliest.
+   and have equal bytes repeat, but for the earliest. Where there are two contexts, only what agrees around the anchor
+   is sorted.
 5. An anchor with more than ``leaf`` different contexts, as at the edge of a passage that a third of all documents
    share, is split by longer strings first: its contexts are winnowed again by strings of 56, 80 and at last ``length``
    bytes, with steps 3 and 4 for what each of these anchors brings together. Contexts that differ part where they
@@ -239,6 +240,38 @@ def repeated_windows(anchor: np.ndarray, doc: np.ndarray, tie: np.ndarray, start
     return r[later], place[later]
 
 
+def trimmed_pairs(anchor: np.ndarray, start: np.ndarray, ctx: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Of anchors with two contexts each, in rows 2i and 2i + 1: which rows to sort, and their starts and bytes.
+
+    Equal windows have their anchor at equal places, so what two contexts can have in common is one run of equal bytes
+    around it. Contexts are cut to that run, and left out if it is shorter than a window.
+    """
+    data = np.frombuffer(b"".join(ctx), dtype=np.uint8)
+    sizes = np.array([len(c) for c in ctx], dtype=np.int64)
+    begin = np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(len(ctx)), sizes)
+    places = np.flatnonzero(_hashes(data, GRAM) == anchor.view(np.uint64)[row])
+    places = places[places + GRAM <= (begin + sizes)[row[places]]]
+    found, first = np.unique(row[places], return_index=True)
+    if len(found) < len(ctx):
+        return np.arange(len(ctx)), start, ctx
+    at = places[first] - begin
+    reach = length - GRAM
+    step = np.arange(-reach, GRAM + reach)
+    left = np.minimum(at[::2], at[1::2])
+    right = np.minimum((sizes - at)[::2], (sizes - at)[1::2])  # from the anchor's first byte on
+    inside = (step >= -left[:, None]) & (step < right[:, None])
+    side = lambda k: data[np.clip(places[first][k::2][:, None] + step, 0, len(data) - 1)]
+    differs = ~(inside & (side(0) == side(1)))
+    before, after = differs[:, :reach][:, ::-1], differs[:, reach + GRAM :]
+    n_left = np.where(before.any(axis=1), before.argmax(axis=1), reach)
+    n_right = np.where(after.any(axis=1), after.argmax(axis=1), reach)
+    kept = np.flatnonzero(~differs[:, reach : reach + GRAM].any(axis=1) & (n_left + GRAM + n_right >= length))
+    rows = np.repeat(2 * kept, 2) + np.tile([0, 1], len(kept))
+    low, high = at[rows] - n_left[rows // 2], at[rows] + GRAM + n_right[rows // 2]
+    return rows, start[rows] + low, [ctx[r][a:b] for r, a, b in zip(rows.tolist(), low.tolist(), high.tolist(), strict=True)]
+
+
 def _joined_spans(doc: np.ndarray, tie: np.ndarray, place: np.ndarray, length: int) -> pa.RecordBatch:
     """Spans of the windows' bytes, consecutive windows of a text joined."""
     by = np.lexsort((place, tie, doc))
@@ -250,8 +283,11 @@ def _joined_spans(doc: np.ndarray, tie: np.ndarray, place: np.ndarray, length: i
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_span_schema())
 
 
-def _sorted_by_suffix(contexts: DataFrame, length: int, most_bytes: int = 1_200_000) -> DataFrame:
-    """Repeated spans among different contexts of one anchor; rows of an anchor meet in one task, a bounded number."""
+def _sorted_by_suffix(contexts: DataFrame, length: int, trim: bool, most_bytes: int = 1_200_000) -> DataFrame:
+    """Repeated spans among different contexts of one anchor; rows of an anchor meet in one task, a bounded number.
+
+    With ``trim``, for anchors that are hashes of ``GRAM`` bytes, pairs of contexts are cut to what they have in common.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -268,8 +304,16 @@ def _sorted_by_suffix(contexts: DataFrame, length: int, most_bytes: int = 1_200_
                 part = table.filter(pa.array((many > low) & (many <= high)))
                 if part.num_rows:
                     own, doc, tie, start = (part.column(c).to_numpy() for c in ("anchor", "doc_id", "tie", "start"))
-                    r, place = repeated_windows(own, doc, tie, start, part.column("ctx").to_pylist(), length)
+                    ctx = part.column("ctx").to_pylist()
+                    if trim and high == 2 and len(ctx) % 2 == 0 and (own[::2] == own[1::2]).all():
+                        rows, start, ctx = trimmed_pairs(own, start, ctx, length)
+                        own, doc, tie = own[rows], doc[rows], tie[rows]
+                        if not ctx:
+                            continue
+                    r, place = repeated_windows(own, doc, tie, start, ctx, length)
                     found.append((doc[r], tie[r], place))
+            if not found:
+                return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in _span_schema()], schema=_span_schema())
             return _joined_spans(*(np.concatenate(x) for x in zip(*found, strict=True)), length)
 
         for batch in batches:
@@ -401,7 +445,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, leaf: int = 40, id_col: str
     firsts = materialize(_context_bytes(_packed(texts).join(wanted, ["doc_id", "tie"])), "first-contexts")
     release(docs.sparkSession)
     hot, used = firsts.filter(F.col("n") > leaf), [firsts, marked, several]
-    spans = spans.union(_sorted_by_suffix(firsts.filter(F.col("n") <= leaf).drop("n"), length))
+    spans = spans.union(_sorted_by_suffix(firsts.filter(F.col("n") <= leaf).drop("n"), length, trim=True))
     for gram in [*(g for g in LONGER if g < length), length]:
         if not hot.limit(1).count():
             break
@@ -410,7 +454,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, leaf: int = 40, id_col: str
         used.append(left)
         # anchors of whole windows have one context each, but for collisions of their hashes
         few = F.lit(True) if gram == length else F.col("n") <= leaf
-        spans = spans.union(more).union(_sorted_by_suffix(left.filter(few).drop("n"), length))
+        spans = spans.union(more).union(_sorted_by_suffix(left.filter(few).drop("n"), length, trim=False))
         hot = left.filter(~few)
     spans = spans.union(copies.select("doc_id", "tie", F.lit(0).alias("start"), F.col("n").cast("int").alias("end")))
     per_text = materialize(spans.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
