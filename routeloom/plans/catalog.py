@@ -7,10 +7,10 @@ vectors, ``events`` the training log, ``customer`` with ``nation`` and ``region`
 
 from __future__ import annotations
 
-from routeloom.plans import codes, documents, graphs, joins, logs, ranking, splits, summaries, text, validation
+from routeloom.plans import codes, curation, documents, graphs, joins, logs, ranking, splits, summaries, text, validation
 from routeloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "MODULES"]
 
-MODULES = (codes, documents, graphs, joins, logs, ranking, splits, summaries, text, validation)
+MODULES = (codes, curation, documents, graphs, joins, logs, ranking, splits, summaries, text, validation)
 FLAGSHIP = "couse_edges"
