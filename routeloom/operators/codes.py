@@ -134,6 +134,66 @@ def balanced_capacities(demand: DataFrame, codes: int, samples: int) -> DataFram
     return full.select("code", (F.lit(base) + (place <= extra).cast("int")).alias("capacity"))
 
 
+def least_cost_assignment(costs: np.ndarray) -> np.ndarray:
+    """The column of each row in an assignment of least total cost; there are at least as many columns as rows.
+
+    Shortest augmenting paths with row and column prices: rows are added one at a time, and prices keep every reduced
+    cost at zero or above, so each path is found by a nearest-first search.
+    """
+    n, m = costs.shape
+    row_price, column_price = np.zeros(n), np.zeros(m)
+    owner = np.full(m, -1)
+    for new in range(n):
+        distance, came_from, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, dtype=bool)
+        row, here, last = new, 0.0, -1
+        while True:
+            through = here + costs[row] - row_price[row] - column_price
+            nearer = ~done & (through < distance)
+            distance[nearer], came_from[nearer] = through[nearer], last
+            last = int(np.where(done, np.inf, distance).argmin())
+            here, done[last] = distance[last], True
+            if owner[last] < 0:
+                break
+            row = owner[last]
+        passed = done & (np.arange(m) != last)
+        row_price[new] += here
+        row_price[owner[passed]] += here - distance[passed]
+        column_price[passed] -= here - distance[passed]
+        while last >= 0:  # turn the path around
+            before = came_from[last]
+            owner[last] = owner[before] if before >= 0 else new
+            last = before
+    out = np.empty(n, dtype=int)
+    out[owner[owner >= 0]] = np.flatnonzero(owner >= 0)
+    return out
+
+
+def grouped_assignment(costs: DataFrame, exact_group_size: int = 128, group_col: str = "group") -> DataFrame:
+    """``group, sample, code``: balanced codes of least total cost within each group of ``group, sample, code, cost``.
+
+    A group with no more samples than codes uses each code at most once; a larger one gives every code its balanced
+    share. Groups are the prefixes of a hierarchy and small by design: one of more than ``exact_group_size`` samples
+    is an error, as ``deferred_assignment`` is made for those.
+    """
+
+    def assign(part: pd.DataFrame) -> pd.DataFrame:
+        table = part.pivot(index="sample", columns="code", values="cost").sort_index()
+        matrix, codes = table.to_numpy(dtype=np.float64), table.columns.to_numpy()
+        n, m = matrix.shape
+        if n > exact_group_size:
+            raise ValueError(f"a group of {n} samples is too large for an exact assignment")
+        slots = np.arange(m)
+        if n > m:
+            wanted = np.bincount(matrix.argmin(axis=1), minlength=m)
+            more = np.lexsort((np.arange(m), -wanted))[: n % m]
+            slots = np.repeat(np.arange(m), n // m + np.isin(np.arange(m), more))
+        chosen = slots[least_cost_assignment(matrix[:, slots])]
+        return pd.DataFrame({group_col: part[group_col].iloc[0], "sample": table.index, "code": codes[chosen]})
+
+    kinds = ", ".join(f"{c} {costs.schema[c].dataType.simpleString()}" for c in (group_col, "sample", "code"))
+    return costs.select(group_col, "sample", "code", "cost").groupBy(group_col).applyInPandas(assign, kinds)
+
+
 def deferred_assignment(costs: DataFrame, capacities: DataFrame) -> DataFrame:
     """``sample, code``: deferred acceptance with capacities from ``costs(sample, code, cost)``.
 

@@ -88,6 +88,12 @@ def deferred_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.deferred_assignment(costs, c.balanced_capacities(nearest, 5, table(spark, sf_dir, "supplier").count()))
 
 
+@plan("grouped_assignment")
+def grouped_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample"), F.col("s_nationkey").alias("group"))
+    return c.grouped_assignment(_costs(spark, sf_dir).join(groups, "sample"))
+
+
 @plan("usage_penalized", """WITH c AS (SELECT s_suppkey AS sample, code, abs(s_acctbal / 1000 - code * 2) AS cost FROM supplier, (SELECT unnest(range(0, 5)) AS code)),
     u AS (SELECT s_nationkey % 5 AS code, count(*) AS n FROM supplier GROUP BY 1), p AS (SELECT sample, c.code, cost + 0.3::DOUBLE * coalesce(n / (SELECT sum(n) FROM u), 0) AS price FROM c LEFT JOIN u ON u.code = c.code)
     SELECT sample, code::INTEGER AS code FROM p QUALIFY row_number() OVER (PARTITION BY sample ORDER BY price, code) = 1""")

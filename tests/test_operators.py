@@ -432,3 +432,26 @@ def test_ranked_in_is_a_binary_search(spark):
     values = list(range(-60, 60, 3))
     found = spark.createDataFrame(lists, "a array<bigint>").select("a", ranked_in(F.col("a"), lambda f: F.transform(F.lit(values), lambda v: f(v.cast("long")))).alias("p"))
     assert all(x.p == [bisect.bisect_right(x.a or [], v) for v in values] for x in found.collect())
+
+
+def test_grouped_assignment_has_the_least_cost(spark):
+    import random
+
+    r = random.Random(2)
+    data, best = [], {}
+    for g, (n, m) in enumerate([(1, 1), (1, 4), (3, 3), (3, 5), (4, 2), (5, 3), (6, 4), (7, 3), (2, 2)]):
+        cost = [[r.choice([0.0, 1.0, -2.0, r.random() * 9]) for _ in range(m)] for _ in range(n)]
+        data += [(g, s, c, cost[s][c]) for s in range(n) for c in range(m)]
+        share = [1] * m
+        if n > m:
+            near = [min(range(m), key=lambda c: (row[c], c)) for row in cost]
+            more = sorted(range(m), key=lambda c: (-near.count(c), c))[: n % m]
+            share = [n // m + (c in more) for c in range(m)]
+        fits = (x for x in itertools.product(range(m), repeat=n) if all(x.count(c) <= share[c] for c in range(m)))
+        best[g] = (min(sum(cost[s][c] for s, c in enumerate(x)) for x in fits), n, share)
+    frame = spark.createDataFrame(data, "group int, sample int, code int, cost double")
+    found = codes.grouped_assignment(frame).join(frame, ["group", "sample", "code"]).collect()
+    for g, (total, n, share) in best.items():
+        own = [x for x in found if x.group == g]
+        assert len(own) == n and sum(x.cost for x in own) == pytest.approx(total)
+        assert all([x.code for x in own].count(c) <= share[c] for c in range(len(share)))
