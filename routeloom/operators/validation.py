@@ -112,6 +112,64 @@ def closed_set_violations(queries: DataFrame, least: int = 2, most: int = 4) ->
     return reduce(DataFrame.unionByName, rules)
 
 
+def intent_violations(queries: DataFrame) -> DataFrame:
+    """Rules of the intents of rows ``query_id, skill_ids, intent_mode, implicit_ids, target_intents (map), rationales (map)``.
+
+    A mode of two; implicit ids among the targets; intents of exactly the targets that agree with the implicit ids (null:
+    not given); rationales of exactly the implicit ids; an explicit query has none, an implicit one some and not all.
+    """
+    mode = F.coalesce("intent_mode", F.lit("explicit"))
+    implicit = F.coalesce("implicit_ids", F.array().cast(queries.schema["skill_ids"].dataType))
+    targets = F.array_sort(F.array_distinct("skill_ids"))
+    of_map = lambda c: F.array_sort(F.coalesce(F.map_keys(c), F.array().cast(queries.schema["skill_ids"].dataType)))
+    wrong = F.map_filter("target_intents", lambda k, v: v != F.when(F.array_contains(implicit, k), "implicit").otherwise("explicit"))
+    n = F.size(implicit)
+    rules = (
+        (~mode.isin("explicit", "implicit"), "intent mode"),
+        (F.size(F.array_except(implicit, "skill_ids")) > 0, "implicit skill is no target"),
+        (F.col("target_intents").isNotNull() & (of_map("target_intents") != targets), "intents of other than the targets"),
+        (F.coalesce(F.size(F.map_keys(wrong)), F.lit(0)) > 0, "intents disagree with implicit skills"),
+        (of_map("rationales") != F.array_sort(F.array_distinct(implicit)), "rationales of other than the implicit skills"),
+        ((mode == "explicit") & (n > 0), "explicit query with implicit skills"),
+        ((mode == "implicit") & ~n.between(1, F.size(targets) - 1), "implicit query without both kinds"),
+    )
+    return reduce(DataFrame.unionByName, (violation(queries.filter(broken), rule, F.col("query_id")) for broken, rule in rules))
+
+
+def count_violations(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Names ``name, n`` whose number of rows isn't what the manifest says, or that only one side has."""
+    both = found.select("name", F.col("n").alias("found")).join(manifest.select("name", F.col("n").alias("said")), "name", "full_outer")
+    wrong = both.filter(~F.col("found").eqNullSafe(F.col("said")))
+    shown = F.concat_ws(" <> ", F.coalesce(F.col("found").cast("string"), F.lit("-")), F.coalesce(F.col("said").cast("string"), F.lit("-")))
+    return violation(wrong, "count differs from manifest", F.col("name"), shown)
+
+
+def alignment_violations(queries: DataFrame, qrels: DataFrame, skills: DataFrame) -> DataFrame:
+    """Rules of single-target queries ``query_id, skill_ids`` and their judgements ``query_id, skill_id, relevance``: ids once,
+    one known target each, and for each query exactly the judgement of its target, positive and once."""
+    single = queries.filter(F.size("skill_ids") == 1).select("query_id", F.get("skill_ids", F.lit(0)).alias("skill_id"))
+    good = qrels.filter(F.coalesce("relevance", F.lit(1)) > 0)
+    rules = [
+        duplicates(queries, ["query_id"], "duplicate query"),
+        violation(queries.filter(F.size("skill_ids") != 1), "number of targets", F.col("query_id"), F.size("skill_ids")),
+        unknown(single, skills, "skill_id", "unknown target"),
+        duplicates(qrels, ["query_id", "skill_id"], "duplicate judgement"),
+        violation(qrels.filter(F.coalesce("relevance", F.lit(1)) <= 0), "judgement isn't positive", F.col("query_id")),
+        violation(good.join(single, ["query_id", "skill_id"], "left_anti"), "judgement of no target", F.col("query_id")),
+        violation(single.join(good, ["query_id", "skill_id"], "left_anti"), "target without judgement", F.col("query_id")),
+    ]
+    return reduce(DataFrame.unionByName, rules)
+
+
+def underfed_skills(train: DataFrame, alignment: DataFrame, skills: DataFrame, least: int) -> DataFrame:
+    """Skills with fewer than ``least`` positives: targets of distinct source queries ``query_id, source_query_id, skill_ids``
+    in training, and of alignment queries ``skill_ids``."""
+    source = train.select(F.coalesce("source_query_id", "query_id").alias("source"), F.explode("skill_ids").alias("skill_id")).distinct()
+    counts = source.select("skill_id").union(alignment.select(F.explode("skill_ids"))).groupBy("skill_id").agg(F.count(F.lit(1)).alias("n"))
+    joined = skills.select("skill_id").join(counts, "skill_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return violation(joined.filter(F.col("n") < least), "too few positives", F.col("skill_id"), F.col("n"))
+
+
 def text_violations(rows: DataFrame, key: str, text: str, shortest: int, longest: int, cjk_least: int, cjk_share: float, banned: list[str]) -> DataFrame:
     """Length, banned phrases, identifier leaks and the share of CJK characters of generated texts."""
     c = F.col(text)

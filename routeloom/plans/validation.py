@@ -74,6 +74,78 @@ def closed_set_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.closed_set_violations(rows)
 
 
+@plan(
+    "intent_violations",
+    f"""WITH {QRELS_SQL}, q AS (SELECT query_id AS q, list_sort(list(skill_id)) AS t, query_id % 11 AS m FROM qrels GROUP BY query_id),
+    i AS (SELECT q, t, m, CASE WHEN m = 1 THEN [t[1]] WHEN m = 2 THEN t WHEN m = 3 THEN [-1] WHEN m = 4 THEN [t[1]] ELSE [] END AS imp, CASE WHEN m IN (1, 2, 3, 5) THEN 'implicit' WHEN m = 6 THEN 'other' ELSE 'explicit' END AS mode FROM q)
+    SELECT 'intent mode' AS rule, q::VARCHAR AS key, '' AS detail FROM i WHERE m = 6
+    UNION ALL SELECT 'implicit skill is no target', q::VARCHAR, '' FROM i WHERE m = 3
+    UNION ALL SELECT 'intents of other than the targets', q::VARCHAR, '' FROM i WHERE m = 7 AND len(t) > 1
+    UNION ALL SELECT 'intents disagree with implicit skills', q::VARCHAR, '' FROM i WHERE m IN (1, 2, 4)
+    UNION ALL SELECT 'rationales of other than the implicit skills', q::VARCHAR, '' FROM i WHERE m IN (3, 8)
+    UNION ALL SELECT 'explicit query with implicit skills', q::VARCHAR, '' FROM i WHERE m = 4
+    UNION ALL SELECT 'implicit query without both kinds', q::VARCHAR, '' FROM i WHERE mode = 'implicit' AND NOT len(imp) BETWEEN 1 AND len(t) - 1""",
+)
+def intent_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every eleventh query breaks another rule: see the twin; all stated intents are explicit."""
+    rows = qrels(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list("skill_id")).alias("skill_ids"))
+    m, none, first = F.col("query_id") % 11, F.array().cast("array<bigint>"), F.slice("skill_ids", 1, 1)
+    implicit = F.when(m.isin(1, 4), first).when(m == 2, F.col("skill_ids")).when(m == 3, F.array(F.lit(-1).cast("long"))).otherwise(none)
+    stated = F.when(m == 7, first).otherwise(F.col("skill_ids"))
+    reasoned = F.when(m == 3, none).when(m == 8, first).otherwise(implicit)
+    of = lambda keys, value: F.map_from_arrays(keys, F.transform(keys, lambda _: F.lit(value)))
+    rows = rows.select(
+        "query_id",
+        "skill_ids",
+        F.when(m.isin(1, 2, 3, 5), "implicit").when(m == 6, "other").when(m == 0, F.lit(None)).otherwise("explicit").alias("intent_mode"),
+        implicit.alias("implicit_ids"),
+        F.when(m != 9, of(stated, "explicit")).alias("target_intents"),
+        of(reasoned, "because").alias("rationales"),
+    )
+    return v.intent_violations(rows)
+
+
+@plan(
+    "alignment_violations",
+    """WITH q AS (SELECT o_orderkey AS q, CASE WHEN o_orderkey % 13 = 1 THEN 2 ELSE 1 END AS n, o_custkey AS s FROM orders), j AS (SELECT q, CASE WHEN q % 13 = 2 THEN s + 1 ELSE s END AS s, CASE WHEN q % 13 = 3 THEN 0 ELSE 1 END AS r FROM q WHERE q % 13 <> 4)
+    SELECT 'number of targets' AS rule, q::VARCHAR AS key, '2' AS detail FROM q WHERE n = 2
+    UNION ALL SELECT 'unknown target', s::VARCHAR, '' FROM (SELECT DISTINCT s FROM q WHERE n = 1) WHERE s NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+    UNION ALL SELECT 'judgement isn''t positive', q::VARCHAR, '' FROM j WHERE r = 0
+    UNION ALL SELECT 'judgement of no target', q::VARCHAR, '' FROM j WHERE r = 1 AND q % 13 IN (1, 2)
+    UNION ALL SELECT 'target without judgement', q::VARCHAR, '' FROM q WHERE q % 13 IN (2, 3, 4)""",
+)
+def alignment_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, s = F.col("o_orderkey") % 13, F.col("o_custkey")
+    orders = table(spark, sf_dir, "orders")
+    queries = orders.select(F.col("o_orderkey").alias("query_id"), F.when(m == 1, F.array(s, s + 1)).otherwise(F.array(s)).alias("skill_ids"))
+    judged = orders.filter(m != 4).select(F.col("o_orderkey").alias("query_id"), F.when(m == 2, s + 1).otherwise(s).alias("skill_id"), F.when(m == 3, 0).otherwise(1).alias("relevance"))
+    return v.alignment_violations(queries, judged, table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("skill_id")))
+
+
+@plan(
+    "manifest_counts",
+    """WITH f AS (SELECT o_orderpriority AS k, count(*) AS n FROM orders GROUP BY 1), m AS (SELECT o_orderpriority AS k, count(*) FILTER (o_orderstatus <> 'P') AS n FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1)
+    SELECT 'count differs from manifest' AS rule, f.k AS key, f.n::VARCHAR || ' <> ' || coalesce(m.n::VARCHAR, '-') AS detail FROM f LEFT JOIN m ON m.k = f.k WHERE m.n IS DISTINCT FROM f.n""",
+)
+def manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "name")
+    said = orders.filter("name <> '5-LOW'").groupBy("name").agg(F.count(F.when(F.col("o_orderstatus") != "P", 1)).alias("n"))
+    return v.count_violations(orders.groupBy("name").agg(F.count(F.lit(1)).alias("n")), said)
+
+
+@plan(
+    "underfed_skills",
+    f"""WITH {QRELS_SQL}, s AS (SELECT DISTINCT query_id - query_id % 3 AS q, skill_id FROM qrels), a AS (SELECT s_suppkey AS skill_id FROM supplier),
+    n AS (SELECT p_partkey AS k, count(x.skill_id) AS n FROM part LEFT JOIN (SELECT skill_id FROM s UNION ALL SELECT skill_id FROM a) x ON x.skill_id = p_partkey GROUP BY 1)
+    SELECT 'too few positives' AS rule, k::VARCHAR AS key, n::VARCHAR AS detail FROM n WHERE n < 30""",
+)
+def underfed_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.when(F.col("query_id") % 3 > 0, F.col("query_id") - F.col("query_id") % 3).alias("source_query_id")
+    train = qrels(spark, sf_dir).groupBy("query_id").agg(F.collect_list("skill_id").alias("skill_ids")).select("query_id", source, "skill_ids")
+    alignment = table(spark, sf_dir, "supplier").select(F.array("s_suppkey").alias("skill_ids"))
+    return v.underfed_skills(train, alignment, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("skill_id")), 30)
+
+
 @plan(
     "text_violations",
     """SELECT 'length' AS rule, doc_id::VARCHAR AS key, length(text)::VARCHAR AS detail FROM documents WHERE length(text) < 40 OR length(text) > 8000
