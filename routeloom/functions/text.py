@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import unicodedata
 from collections.abc import Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -80,24 +81,25 @@ def leaks_identifier(text: Column) -> Column:
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
+#: What is taken out of Markdown and HTML, and what is put in its place, in this order; fixed values, as catalogs that
+#: were cleaned elsewhere must compare equal.
+MARKUP = (
+    (r"(?i)<br\s*/?>", "\n"),
+    (r"(?s)<!--.*?-->", " "),
+    (r"(?s)```.*?```", " "),
+    (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"\[([^\]]+)\]\([^)]*\)", "$1"),
+    (r"<[^>]+>", " "),
+    (r"(?m)^\s{0,3}#{1,6}\s*", ""),
+    (r"[*_`>|]", " "),
+)
+
+
 def cleaned_markup(text: Column, limit: int) -> Column:
-    """Plain text of Markdown or HTML: breaks, comments, code fences, images, links, tags, headings, emphasis, entities."""
-    steps = (
-        (r"(?i)<br\s*/?>", "\n"),
-        (r"(?s)<!--.*?-->", " "),
-        (r"(?s)```.*?```", " "),
-        (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"\[([^\]]+)\]\([^)]*\)", "$1"),
-        (r"<[^>]+>", " "),
-        (r"(?m)^\s{0,3}#{1,6}\s*", ""),
-        (r"[*_`>|]", " "),
-    )
-    out = F.coalesce(text, F.lit(""))
-    for pattern, put in steps:
-        out = F.regexp_replace(out, pattern, put)
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.trim(F.substring(collapsed(out), 1, limit))
+    """Plain text of Markdown or HTML by the fixed replacements, with entities as characters, cut at ``limit``."""
+    bare = reduce(lambda out, step: F.regexp_replace(out, *step), MARKUP, F.coalesce(text, F.lit("")))
+    plain = reduce(lambda out, entity: F.replace(out, *map(F.lit, entity)), ENTITIES, bare)
+    return F.trim(F.substring(collapsed(plain), 1, limit))
 
 
 @F.pandas_udf(StringType())
