@@ -24,24 +24,22 @@ def suffix_arrays(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """
     n = len(symbols)
     sa, group, size = _grouped(symbols, starts)
-    before = np.arange(-1, n - 1, dtype=np.int32)
+    before = np.arange(-1, n - 1)
     before[starts[:-1]] = -1
-    place = np.empty(n, dtype=np.int32)
-    place[sa] = np.arange(n, dtype=np.int32)
+    place = np.empty(n, dtype=np.int64)
+    place[sa] = np.arange(n)
     moved = np.zeros(n, dtype=bool)
     top = starts[1:].copy()
     live = np.flatnonzero(top > starts[:-1])
     while len(live):
         high = top[live]
         low = group[sa[high - 1]]
-        members = sa[_ranges(low, high)]
-        _point_back(members, group, before)
-        back = before[members]
-        back = back[back >= 0]
+        back = _point_back(sa[_ranges(low, high)], group, before)
         if len(back):
             _move_up(back, sa, place, group, size, moved)
         top[live] = low
         live = live[low > starts[live]]
+    del sa, place, size, moved
     return _emit(starts, group, before, n)
 
 
@@ -51,93 +49,118 @@ def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.repeat(high - np.cumsum(length), length) + np.arange(int(length.sum()))
 
 
+def _lengths(first: np.ndarray, n: int) -> np.ndarray:
+    """Lengths of runs that start at ``first``, the last of which ends at n."""
+    out = np.empty_like(first)
+    np.subtract(first[1:], first[:-1], out=out[:-1])
+    out[-1:] = n - first[-1:]
+    return out
+
+
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where a row differs from the row before it."""
+    out = np.zeros(len(keys[0]), dtype=bool)
+    out[:1] = True
+    for k in keys:
+        out[1:] |= k[1:] != k[:-1]
+    return out
+
+
 def _grouped(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first groups: by string and symbol. Positions in group order, each position's group start, group sizes."""
+    """The first groups: by string and symbol. Positions in group order, each position's group start, group sizes.
+
+    The group starts have one more entry, lower than all, for a pointer of -1.
+    """
     n = len(symbols)
     owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     key = owner * 512 + symbols
-    sa = np.argsort(key, kind="stable").astype(np.int32)
-    ordered = key[sa]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if n else np.zeros(0, np.int64)
-    lengths = np.diff(np.append(first, n))
-    group = np.empty(n, dtype=np.int32)
+    sa = np.argsort(key, kind="stable")
+    first = np.flatnonzero(_heads(key[sa]))
+    lengths = _lengths(first, n)
+    group = np.full(n + 1, -1, dtype=np.int64)
     group[sa] = np.repeat(first, lengths)
-    size = np.zeros(n, dtype=np.int32)
+    size = np.zeros(n, dtype=np.int64)
     size[first] = lengths
     return sa, group, size
 
 
-def _point_back(members: np.ndarray, group: np.ndarray, before: np.ndarray) -> None:
-    """Follow the pointers of the members until each meets a lower group or the start of its string."""
-    todo = members
-    while len(todo):
-        p = before[todo]
-        skip = p >= 0
-        skip[skip] = group[p[skip]] >= group[todo[skip]]
-        todo = todo[skip]
-        before[todo] = before[p[skip]]
+def _point_back(members: np.ndarray, group: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Follow the pointers of the members until each meets a lower group, or the start of its string; where they lead."""
+    todo, own, p = members, group[members], before[members]
+    while len(skip := np.flatnonzero(group[p] >= own)):
+        todo, own, p = todo[skip], own[skip], before[p[skip]]
+        before[todo] = p
+    back = before[members]
+    return back[back >= 0]
 
 
 def _move_up(back: np.ndarray, sa: np.ndarray, place: np.ndarray, group: np.ndarray, size: np.ndarray, moved: np.ndarray) -> None:
     """Move the suffixes that are pointed to into new groups at the upper end of their old ones, by number of pointers."""
-    which, pointers = np.unique(back, return_counts=True)
+    back.sort()
+    first = np.flatnonzero(_heads(back))
+    which, pointers = back[first], _lengths(first, len(back))
     old = group[which]
-    order = np.lexsort((pointers, old))
+    order = np.argsort((old << 32) | pointers, kind="stable")
     which, pointers, old = which[order], pointers[order], old[order]
-    new_old = np.concatenate([[True], old[1:] != old[:-1]])
+    new_old = _heads(old)
     first = np.flatnonzero(new_old)
-    count = np.diff(np.append(first, len(which)))
-    tail = old[first] + size[old[first]] - count  # where the moved part of each old group starts
+    count = _lengths(first, len(which))
+    low = old[first]
+    tail = low + size[low] - count  # where the moved part of each old group starts
     target = np.repeat(tail - first, count) + np.arange(len(which))
     moved[which] = True
     there = sa[target]
     out = there[~moved[there]]
-    holes = place[which]
-    inside = holes < np.repeat(tail, count)
-    holes = holes[inside]
-    sa[holes] = out
-    place[out] = holes
+    if len(out):
+        holes = place[which]
+        holes = holes[holes < np.repeat(tail, count)]
+        sa[holes] = out
+        place[out] = holes
     sa[target] = which
     place[which] = target
     moved[which] = False
-    size[old[first]] -= count
-    run = np.flatnonzero(new_old | np.concatenate([[True], pointers[1:] != pointers[:-1]]))
-    length = np.diff(np.append(run, len(which)))
+    size[low] -= count
+    run = np.flatnonzero(new_old | _heads(pointers))
+    length = _lengths(run, len(which))
     group[which] = np.repeat(target[run], length)
     size[target[run]] = length
 
 
 def _emit(starts: np.ndarray, group: np.ndarray, before: np.ndarray, n: int) -> np.ndarray:
-    """Final order: each string's last position comes first, and every place found lets others follow."""
-    out = np.full(n, -1, dtype=np.int32)
-    filled = np.zeros(n, dtype=np.int32)
-    placed = np.zeros(n, dtype=bool)
-    begin, end = starts[:-1], starts[1:]
-    some = end > begin
-    begin, end = begin[some], end[some]
-    last = end - 1
+    """Final order: each string's last position comes first, and every place found lets others follow.
+
+    A move of a string either places a suffix or goes to the next place, so a string of m suffixes takes 2m - 2 moves.
+    Strings go by length, so that those with moves left are always the first ones.
+    """
+    length = np.diff(starts)
+    by = np.argsort(-length, kind="stable")
+    by = by[length[by] > 0]
+    begin, last = starts[:-1][by], starts[1:][by] - 1
+    moves = 2 * length[by] - 2
+    left = np.searchsorted(-moves, -np.arange(moves[0] if len(by) else 0), side="left")
+    out = np.empty(n, dtype=np.int64)
+    free = np.arange(n)  # the next free place of each group, at the group's start
+    placed = np.zeros(n + 1, dtype=bool)
+    placed[-1] = True  # where a pointer of -1 leads
+    preceding = np.arange(-1, n - 1)
+    preceding[begin] = -1
     out[begin] = last
     placed[last] = True
-    filled[group[last]] = 1
-    rank = begin.copy()
-    at = np.where(last > begin, last - 1, -1)
-    live = np.arange(len(begin))
-    while len(live):
-        s = at[live]
-        free = s >= 0
-        free[free] = ~placed[s[free]]
-        go, stay = live[free], live[~free]
-        if len(go):
-            s = s[free]
-            g = group[s]
-            out[g + filled[g]] = s
-            filled[g] += 1
-            placed[s] = True
-            at[go] = before[s]
-        if len(stay):
-            rank[stay] += 1
-            stay = stay[rank[stay] < end[stay]]
-            r = out[rank[stay]]
-            at[stay] = np.where(r > begin[stay], r - 1, -1)
-        live = np.sort(np.concatenate([go, stay])) if len(stay) and len(go) else (go if len(go) else stay)
+    free[group[last]] += 1
+    rank, at = begin.copy(), preceding[last]
+    for k in left.tolist():
+        s = at[:k]
+        stuck = placed[s]
+        stay = stuck.nonzero()[0]
+        go = (~stuck).nonzero()[0]
+        x = s[go]
+        g = group[x]
+        f = free[g]
+        out[f] = x
+        free[g] = f + 1
+        placed[x] = True
+        s[go] = before[x]
+        r = rank[stay] + 1
+        rank[stay] = r
+        s[stay] = preceding[out[r]]
     return out
