@@ -490,3 +490,35 @@ def test_bucket_candidates_of_large_buckets_are_not_expanded_whole(spark):
     found = ranking.bucket_candidates(paths, buckets, 8)
     assert found.agg(F.count(F.lit(1)), F.max("skill_id"), F.max("path_rank")).first()[:] == (48_000, 28, 0)
     assert time.perf_counter() - began < 30
+
+
+def test_path_metrics_equal_plain_counting(spark):
+    """Skills in several buckets, judgements that repeat, paths without a bucket, queries without a prediction."""
+    import random
+
+    r = random.Random(6)
+    buckets = {p: r.sample(range(10), r.choice([1, 2, 4, 7])) for p in "abcdef"}
+    gold = {q: [(r.randrange(10), r.choice("abcdefz"), r.randrange(4)) for _ in range(r.randint(1, 6))] for q in range(60)}
+    predicted = {q: r.sample("abcdefz", r.randint(0, 5)) for q in range(70) if q % 7}
+    wanted = {}
+    for q, judged in gold.items():
+        firsts = {p: min(o for _, x, o in judged if x == p) for _, p, _ in judged}
+        paths, skills, own = sorted(firsts, key=lambda p: (firsts[p], p)), {s for s, _, _ in judged}, predicted.get(q, [])
+        for k in (1, 3):
+            found = len(skills & {s for p in own[:k] for s in buckets.get(p, [])}) / len(skills)
+            recall = len(set(paths) & set(own[:k])) / len(paths)
+            wanted[q, k] = (recall, found, float(found == 1), float(own == paths), float(len(own) == len(paths)), float(abs(len(own) - len(paths))))
+    frame = spark.createDataFrame([(q, *x) for q, judged in gold.items() for x in judged * 2], "query_id int, skill_id int, path string, ord int")
+    pred = spark.createDataFrame(list(predicted.items()), "query_id int, paths array<string>")
+    found = ranking.path_metrics(pred, frame, [1, 3], spark.createDataFrame(list(buckets.items()), "path string, skills array<int>")).collect()
+    assert {(x.query_id, x.k): tuple(x)[2:] for x in found} == wanted and len(found) == len(wanted)
+
+
+def test_path_metrics_of_large_buckets_do_not_expand_them(spark):
+    buckets = spark.range(200_000).groupBy((F.col("id") % 4).cast("string").alias("path")).agg(F.collect_set("id").alias("skills"))
+    pred = spark.range(6000).select(F.col("id").alias("query_id"), F.array(*map(F.lit, "0123")).alias("paths"))
+    gold = spark.range(6000).select(F.col("id").alias("query_id"), F.col("id").alias("skill_id"), (F.col("id") % 4).cast("string").alias("path"), F.lit(1).alias("ord"))
+    began = time.perf_counter()
+    found = ranking.path_metrics(pred, gold, [1, 3], buckets).groupBy("k").agg(F.avg("bucket_recall")).collect()
+    assert {x.k: x[1] for x in found} == {1: 0.25, 3: 0.75}
+    assert time.perf_counter() - began < 30
