@@ -522,3 +522,21 @@ def test_path_metrics_of_large_buckets_do_not_expand_them(spark):
     found = ranking.path_metrics(pred, gold, [1, 3], buckets).groupBy("k").agg(F.avg("bucket_recall")).collect()
     assert {x.k: x[1] for x in found} == {1: 0.25, 3: 0.75}
     assert time.perf_counter() - began < 30
+
+
+def test_grouped_assignment_of_large_groups_has_the_least_cost(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for n, m, draw in [(200, 7, r.random), (150, 3, lambda x: r.integers(0, 3, x).astype(float)), (90, 40, r.random), (30, 1, r.random)]:
+        cost, shares = draw((n, m)), n // m + (np.arange(m) < n % m)
+        slots = np.repeat(np.arange(m), shares)
+        square, few = slots[codes.least_cost_assignment(cost[:, slots])], codes.least_cost_shares(cost, shares)
+        assert (np.bincount(few, minlength=m) == shares).all()
+        assert cost[np.arange(n), few].sum() == pytest.approx(cost[np.arange(n), square].sum())
+    # a group of 301: codes far from most samples are filled by those that lose least
+    data = [(0, s, c, abs(s / 10 - 15.0 * c)) for s in range(301) for c in range(3)]
+    frame = spark.createDataFrame(data, "group int, sample int, code int, cost double")
+    found = {x.sample: x.code for x in codes.grouped_assignment(frame).collect()}
+    assert len(found) == 301 and sorted([*found.values()].count(c) for c in range(3)) == [100, 100, 101]
+    assert [found[s] for s in range(301)] == sorted(found.values())
