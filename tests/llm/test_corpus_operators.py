@@ -299,6 +299,21 @@ def test_mined_rules_equal_plain_counting(spark):
         assert any(len(x) >= 2 for x, _ in found)
 
 
+def test_mined_rules_of_many_tokens_equal_plain_counting(spark):
+    """Eleven and twelve mixed tokens in a basket; exceptions that lack one token each need rules of all others."""
+    every = [f"t{i:02d}" for i in range(11)]
+    labelled = [(every, "block")] * 20 + [(every[:i] + every[i + 1 :], "allow") for i in range(11) for _ in range(2)]
+    r = random.Random(21)
+    noisy = [sorted(t for t in "abcdefghijkl" if r.random() < 0.6) for _ in range(60)]
+    noisy = [(x, "block" if len(x) % 3 == 0 or {"k", "l"} <= set(x) else r.choice(["allow", "other"])) for x in noisy if x]
+    for data in (labelled, noisy):
+        frame = spark.createDataFrame(data, "tokens array<string>, label string")
+        found = {(tuple(x.tokens), x.label): (round(x.confidence, 9), round(x.support, 9)) for x in op6.mine_rules(frame, "tokens", "label", 0.05, 0.8).collect()}
+        assert found == {k: (round(c, 9), round(s, 9)) for k, (c, s) in _mined(data, 0.05, 0.8).items()}
+        longest = max(len(x) for x, _ in found)
+        assert longest == 11 if data is labelled else longest > 2
+
+
 def test_mined_verdicts_of_the_table(spark):
     """The best of the rules that plain counting finds decides each URL that no explicit rule judges."""
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
