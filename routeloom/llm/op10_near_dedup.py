@@ -234,8 +234,8 @@ def chosen_path_leaves(
         members = materialize(large.join(reps.drop("roots"), "doc_id"), "large-nodes")
         found = materialize(confirmed(materialize(pivot_pairs(members, reps, percent / 100, slack), "pivot-pairs"), texts, percent, hubs=True), "pivot-links")
         links = found if links is None else links.union(found)
-        joined = found.select(F.col("b").alias("doc_id")).distinct()
-        rest = materialize(members.join(broadcast_if_small(materialize(joined, "joined")), "doc_id", "left_anti"), "rest")
+        joined = found.select(F.col("b").alias("doc_id"))
+        rest = materialize(members.join(broadcast_if_small(joined), "doc_id", "left_anti"), "rest")
         discard(members)
         counts = sizes(rest)
         leaves = leaves.union(rest.join(counts.filter(F.col("size") <= leaf).select("node"), "node").select("node", "doc_id"))
@@ -425,14 +425,16 @@ def exact_links(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Full sets of the nodes with the given distinct ids; their texts are shuffled only if the ids are very many.
+    """Full sets of the nodes with the given ids, which may repeat; their texts are shuffled only if the ids are very many.
 
-    ``texts`` has ``doc_id, text``, and where rows that repeat an id differ also ``node, set_digest``: which node a row
-    stands for if its set has that digest.
+    ``texts`` has ``doc_id, text``, and where rows repeat an id also ``node, set_digest``: which node a row stands for
+    if its set has that digest.
     """
-    ids = broadcast_if_small(materialize(ids, "ids"))
+    if ids.count() > 1_000_000:
+        ids = materialize(ids.distinct(), "ids")
+    ids = broadcast_if_small(ids)
     if "node" not in texts.columns:
-        return full_sets(texts.join(ids, "doc_id", "left_semi")).select("doc_id", "shingles").dropDuplicates(["doc_id"])
+        return full_sets(texts.join(ids, "doc_id", "left_semi")).select("doc_id", "shingles")
     wanted = texts.select("doc_id", "node", "set_digest").join(ids.select(F.col("doc_id").alias("node")), "node").distinct()
     sets = full_sets(texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"))
     named = sets.join(wanted, (sets["doc_id"] == wanted["doc_id"]) & (sets["digest"] == wanted["set_digest"]))
@@ -445,7 +447,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, hubs: bool = Fal
     With ``hubs`` few documents are the first of many pairs; their sets are a table of its own, whose size decides
     whether they are broadcast.
     """
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
     sets = materialize(_sets_of(texts, ids), "sets")
     of_a = sets
     if hubs:
@@ -456,19 +458,24 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, hubs: bool = Fal
     return both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def _classes(known: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``digest, rep, node`` of each set: its least id and its node number; and the texts that nodes are read from.
+def _classes(digests: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``digest, rep, node, n_shingles, sig, roots`` of each set that is not empty: its least id and its node number;
+    and the texts that nodes are read from.
 
-    A node has the number of its representative, unless rows that repeat that id have different sets: then the set of
-    the least digest has it, and each other one a hash of digest and id.
+    A node has the number of its representative, unless rows repeat an id, of which some may have different sets: then
+    of the sets with one representative that of the least digest has its number, and each other one a hash of digest
+    and id.
     """
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    several = known.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y")
-    if not several.limit(1).count():
+    least = F.min(F.struct("doc_id", "n_shingles", "sig", "roots")).alias("least")
+    classes = digests.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(least)
+    classes = classes.select("digest", F.col("least.doc_id").alias("rep"), "least.n_shingles", "least.sig", "least.roots")
+    repeated = digests.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not repeated.limit(1).count():
         return materialize(classes.withColumn("node", F.col("rep")), "classes"), texts
+    classes = materialize(classes, "classes")
     first = classes.groupBy("rep").agg(F.min("digest").alias("least"))
     node = F.when(F.col("digest") == F.col("least"), F.col("rep")).otherwise(F.xxhash64("digest", "rep"))
-    classes = materialize(classes.join(first, "rep").select("digest", "rep", node.alias("node")), "classes")
+    classes = materialize(classes.join(first, "rep").withColumn("node", node).drop("least"), "classes")
     own = classes.select(F.col("rep").alias("doc_id"), "node", F.col("digest").alias("set_digest"))
     return classes, texts.join(own, "doc_id")
 
@@ -489,10 +496,8 @@ def similarity_classes(
     """``doc_id, n_shingles, component_id``: one row for each row of ``docs``; the least id that its links reach."""
     texts = _texts(docs, id_col, text_col)
     digests = materialize(set_digests(texts, trees), "digests")
-    known = digests.filter("n_shingles > 0 and doc_id is not null")
-    classes, texts = _classes(known, texts)
-    reps = known.join(classes.select("digest", F.col("rep").alias("doc_id"), "node"), ["digest", "doc_id"]).dropDuplicates(["node"])
-    reps = materialize(reps.select(F.col("node").alias("doc_id"), "n_shingles", "sig", "roots"), "reps")
+    classes, texts = _classes(digests, texts)
+    reps = classes.select(F.col("node").alias("doc_id"), "n_shingles", "sig", "roots")
     threshold = percent / 100
     leaves, branched, to_pivots = chosen_path_leaves(
         reps, texts, percent, trees, min(enough, trees), leaf, per_step, branching or threshold, slack, max_steps
@@ -509,7 +514,7 @@ def similarity_classes(
         with_component = with_component.unionByName(across_components(branched, first, reps, leaf))
     open_members = materialize(undecided_members(with_component, threshold, slack), "undecided")
     discard(members)
-    sets = _sets_of(texts, open_members.select("doc_id").distinct())
+    sets = _sets_of(texts, open_members.select("doc_id"))
     more = materialize(exact_links(open_members.join(sets, "doc_id"), percent), "links")
     last = first
     if more.limit(1).count():

@@ -18,11 +18,24 @@ def _trim() -> None:
         return
 
 
+_settled = False
+
+
+def _settle() -> None:
+    """Once in a worker: what its modules hold is left out of later collections, which else walk it after every task."""
+    global _settled
+    if not _settled:
+        gc.collect()
+        gc.freeze()
+        _settled = True
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A batch function that frees what its pass has used when the pass ends."""
 
     @wraps(run)
     def inner(batches: Iterator) -> Iterator:
+        _settle()
         try:
             yield from run(batches)
         finally:

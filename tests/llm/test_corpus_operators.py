@@ -582,6 +582,33 @@ def test_near_dedup_odd_rows(spark):
     assert op10.similarity_classes(frame.limit(0)).count() == 0
 
 
+def test_near_dedup_of_an_id_with_and_without_text(spark):
+    r = random.Random(15)
+    a = words(r, 120)
+    near = " ".join([*a[:60], "changed", *a[61:]])
+    for first, second in ((None, " ".join(a)), (" ".join(a), "")):
+        rows = [(3, first, "s", "x"), (3, second, "s", "x"), (5, near, "s", "x")]
+        found = op10.similarity_classes(spark.createDataFrame(rows, DOCS))
+        assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in found.collect()) == [(3, 0, 3), (3, 116, 3), (5, 116, 3)]
+
+
+def test_near_dedup_writes_few_tables_for_few_links(spark, monkeypatch):
+    """Each written table is a shuffle over all partitions, which is what a small input with many partitions costs."""
+    r = random.Random(16)
+    base, rows = words(r, 100), []
+    for i in range(400):
+        w = list(base)
+        w[r.randrange(100)] = f"x{r.randrange(9999)}"
+        rows.append((i, " ".join(w), "s", "x"))
+    written, materialize = [], op10.materialize
+    note = lambda df, name, *a: written.append(name) or materialize(df, name, *a)
+    monkeypatch.setattr(op10, "materialize", note)
+    monkeypatch.setattr(components, "materialize", note)
+    found = op10.similarity_classes(spark.createDataFrame(rows, DOCS), 85, leaf=100)
+    assert {x.component_id for x in found.collect()} == {0}
+    assert len(written) <= 26 and written.count("stars") <= 2, written
+
+
 def test_shingle_sets_count_as_words_do():
     r = random.Random(11)
     texts = ["".join(r.choice("aAb \t\nÉ\u00a0字") for _ in range(r.randint(0, 60))) for _ in range(400)] + [None, ""]
@@ -595,3 +622,15 @@ def test_components_of_paths_and_rings(spark):
     found = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(found[i] == 0 for i in range(61)) and found[300] == 0 and found[102] == 100 and 200 not in found
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_links_in_many_parts(spark):
+    r = random.Random(17)
+    edges = [(i, i + 1) for i in range(300)] + [(r.randrange(1000, 3000), r.randrange(1000, 3000)) for _ in range(1500)] + [(4000, 4000), (None, 7)]
+    r.shuffle(edges)
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(8)
+    whole = {x.node: x.component for x in components.components(frame).collect()}
+    assert all(whole[i] == 0 for i in range(301)) and 4000 not in whole
+    for part in (100, 700):
+        found = components.components(frame, part=part).collect()
+        assert len(found) == len(whole) and {x.node: x.component for x in found} == whole
