@@ -12,10 +12,12 @@ each for itself; only the named columns are read, so extra columns never clash.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import regex
@@ -136,18 +138,24 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 
 
 class Encoder(dict):
-    """Ids by pre-token, computed when missing; holds two generations of a bounded number of short pre-tokens."""
+    """Ids by pre-token, packed as 32-bit integers, computed when missing; holds two generations of a bounded number
+    of short pre-tokens.
+
+    The ids of a text are the packed ids of its pre-tokens end to end: no id of a known pre-token becomes a Python
+    object, neither here nor when all ids of a batch are decoded at once.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, entries: int = 300_000) -> None:
         super().__init__()
         self.ranks, self.old, self.entries = ranks, {}, entries
         self.find = regex.compile(pattern).findall
-        self.bytes_of = {r: t for t, r in ranks.items()}
+        by_rank = {r: t for t, r in ranks.items()}
+        self.tokens = pa.array([by_rank.get(r) for r in range(max(by_rank, default=-1) + 1)], pa.binary())
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            ids = encode_piece(piece.encode(), self.ranks)
+            ids = array("i", encode_piece(piece.encode(), self.ranks)).tobytes()
         if len(piece) <= CACHE_LENGTH:
             if len(self) >= self.entries:
                 self.old = dict(self)
@@ -155,11 +163,19 @@ class Encoder(dict):
             self[piece] = ids
         return ids
 
+    def packed(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.find(text)))
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.find(text))))
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decoded(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The bytes of each row of ids; ``offsets`` has where each row starts, and the end."""
+        if not len(ids):
+            return pa.array([b""] * (len(offsets) - 1), pa.binary())
+        _, ends, data = self.tokens.take(pa.array(ids)).buffers()
+        ends = np.frombuffer(ends, np.int32)[offsets]
+        return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), data])
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -206,16 +222,13 @@ def bpe_encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, pattern, remembered)
         for batch in chain.from_iterable(map(slices, batches)):
-            offsets, values, plain = [0], [], []
-            for text in batch.column("text").to_pylist():
-                ids = enc.encode(text) if text else []
-                values.append(pa.array(ids, pa.int32()))
-                offsets.append(offsets[-1] + len(ids))
-                if decoded:
-                    plain.append(enc.decode(ids))
-            flat = pa.concat_arrays(values) if values else pa.array([], pa.int32())
-            columns = [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(plain, pa.binary())] * decoded, schema=out)
+            packed = [enc.packed(text) if text else b"" for text in batch.column("text").to_pylist()]
+            ids = np.frombuffer(b"".join(packed), np.int32)
+            offsets = np.cumsum([0, *map(len, packed)]) // 4
+            columns = [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))]
+            if decoded:
+                columns.append(enc.decoded(ids, offsets))
+            yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(tidy(run), "doc_id long, ids array<int>" + ", decoded binary" * decoded)

@@ -53,6 +53,18 @@ def test_bpe_equals_the_library(vocabulary, theirs):
     assert ours.encode(long) == theirs.encode_ordinary(long)
 
 
+def test_packed_ids_of_a_batch_decode_at_once():
+    path, pattern = registry.vocabulary()
+    enc = op3.Encoder(op3.load_ranks(path), pattern)
+    texts = ["", "one two  three\n", "", "", "\U0001f600\u5b57x" * 70, "a", ""]
+    packed = [enc.packed(t) for t in texts]
+    ids, offsets = np.frombuffer(b"".join(packed), np.int32), np.cumsum([0, *map(len, packed)]) // 4
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [enc.encode(t) for t in texts]
+    assert enc.decoded(ids, offsets).to_pylist() == [t.encode() for t in texts]
+    assert enc.decoded(ids[:0], np.zeros(3, np.int64)).to_pylist() == [b"", b""]
+    assert enc.decoded(ids[:0], np.zeros(1, np.int64)).to_pylist() == []
+
+
 def test_bpe_query_over_the_whole_table(spark, theirs):
     import hashlib
 
