@@ -169,6 +169,10 @@ class Encoder(dict):
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), np.int32).tolist()
 
+    def decode(self, ids: Iterable[int]) -> bytes:
+        ids = np.fromiter(ids, np.int32)
+        return self.decoded(ids, np.array([0, len(ids)]))[0].as_py()
+
     def decoded(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
         """The bytes of each row of ids; ``offsets`` has where each row starts, and the end."""
         if not len(ids):
